@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
     """Arrow batches cut so that each holds at most `limit` bytes of text, or one row."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start = total = 0
         for row, size in enumerate(sizes):
             if total and total + size > limit:

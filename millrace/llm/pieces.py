@@ -17,6 +17,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,13 +76,19 @@ class PieceTable:
         return out
 
 
+@lru_cache(maxsize=2)
+def table_of(model_file: str) -> PieceTable:
+    """The table of this worker process: tasks that follow one another share it."""
+    return PieceTable(model_file)
+
+
 def encode_documents(docs: DataFrame, model_file: str, extra: bool = False) -> DataFrame:
     """One row per document: the count and digest of its ids, end id last, and of the text decoded from
     them. With `extra`, the ids and the decoded text themselves as columns `ids` and `decoded`."""
     schema = SCHEMA + (", ids array<int>, decoded string" if extra else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PieceTable(model_file)
+        table = table_of(model_file)
         end = table.model.eos_id()
         digits = [str(i) for i in range(table.model.vocab_size())].__getitem__
         for batch in slices(batches, limit=1 << 20):
