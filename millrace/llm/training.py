@@ -52,7 +52,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: int, sa
     chosen, counts = class_sample(one, "doc_id", "label", per_class, salt)
     chosen = chosen.select(F.col("doc_id").alias("key"), "label")
     texts = docs.select(F.col("doc_id").alias("key"), "text").where(F.col("text").isNotNull())
-    return texts.join(F.broadcast(chosen), "key"), counts
+    return texts.join(F.broadcast(chosen), "key").dropDuplicates(["key"]), counts
 
 
 def featurised(sample: DataFrame, counts: dict, features: Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]]) -> Sample:
