@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import langid, media, pieces, quality_rules, quality_score, sharding, tool_calls, toxicity
+from millrace.llm import langid, media, minhash, mixing, pieces, quality_rules, quality_score, sharding, tool_calls, toxicity
 from millrace.llm.common import table
 from millrace.llm.training import fold_of
 
@@ -38,6 +38,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs, fold_of("doc_id", 4) != 2))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -52,12 +56,21 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 2)
+
+
 def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link_calls(*tool_calls.turn_calls(table(spark, sf_dir, "conversations")), tool_calls.REPLY)
 
 
+OPERATORS = (op1_sentencepiece, op2_quality_rules, op3_media, op4_language, op5_mixing, op6_toxicity, op7_quality_score, op8_sharding, op9_minhash, op10_tool_calls)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_media, op4_language, op6_toxicity, op7_quality_score, op8_sharding, op10_tool_calls)}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
