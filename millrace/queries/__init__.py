@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("aggregates",)
+_MODULES = ("aggregates", "projection", "windows", "setops")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
