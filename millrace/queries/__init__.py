@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("aggregates", "projection", "windows", "setops", "joins", "functions", "writes", "incremental", "quality", "sources")
+_MODULES = ("aggregates", "projection", "windows", "setops", "joins", "functions", "writes", "incremental", "quality", "sources", "projects")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
