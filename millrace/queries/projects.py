@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.quality import Audit
 from millrace.operators.warehouse import Warehouse
+from millrace.plans.compiler import Compiler
 from millrace.plans.engine import Engine
 from millrace.plans.intervals import Completion, Interval, project_coverage
 from millrace.plans.lineage import check_statement, column_lineage
@@ -156,3 +157,27 @@ def interval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = [Completion(Interval(0, 15), 1), Completion(Interval(10, 20), 2, True), Completion(Interval(15, 20), 3), Completion(Interval(30, 45), 1)]
     segments, _ = project_coverage(Interval(0, 40), done)
     return spark.createDataFrame([(s.interval.start, s.interval.end, s.state) for s in segments], "low int, high int, state string")
+
+
+@QUERIES.frame(
+    "q_compile",
+    """
+    SELECT * FROM (VALUES ('first', 'stg_orders', '', 7), ('first', 'stg_lines', '', 7), ('first', 'fact_orders', '', 7), ('first', 'daily_revenue', '', 7), ('first', 'broken', 'unknown column', 7), ('first', 'behind', 'upstream', 7), ('first', 'untrue', 'contract', 7), ('first', 'torn', 'syntax', 7),
+      ('again', 'stg_orders', '', 0), ('again', 'stg_lines', '', 0), ('again', 'fact_orders', '', 0), ('again', 'daily_revenue', '', 0), ('again', 'broken', 'unknown column', 0), ('again', 'behind', 'upstream', 0), ('again', 'untrue', 'contract', 0), ('again', 'torn', 'syntax', 0)) t(run, model, fault, analysed)
+    """,
+)
+def compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shop with four faulty models, compiled twice: nothing is analysed the second time."""
+    project = shop(sf_dir).add(
+        Model("broken", 'SELECT nothing FROM __ref("fact_orders")'),
+        Model("behind", 'SELECT * FROM __ref("broken")'),
+        Model("untrue", 'SELECT cents FROM __ref("fact_orders")', columns={"cents": "VARCHAR"}, contract=True),
+        Model("torn", "SELECT 1 +"),
+    )
+    inputs = {f"source:{s.name}": spark.read.parquet(s.path).schema for s in project.sources.values()}
+    compiler, rows = Compiler(spark), []
+    for run in ("first", "again"):
+        before = compiler.analysed
+        found = compiler.compile(project, inputs)
+        rows += [(run, c.model, c.fault or ("contract" if c.findings else ""), compiler.analysed - before) for c in found.values()]
+    return spark.createDataFrame(rows, "run string, model string, fault string, analysed int")
