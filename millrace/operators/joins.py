@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.storage import written
+
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], bucket: Column | None = None) -> DataFrame:
     """Every left row with `values` of the latest right row of the same keys whose time is not after its own,
@@ -60,7 +62,7 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
 def hierarchy(edges: DataFrame, node: str, parent: str, separator: str = "/", most_levels: int = 100) -> DataFrame:
     """For each node its level (roots 1), its root and the path from the root. Nodes on a cycle, or under one, are not reached.
 
-    The walk goes level by level, which costs a join per level of the tree, not per node."""
+    The walk goes level by level, each written before the next: a join per level of the tree, not per node."""
     kind = dict(edges.dtypes)[node]
     at = edges.select(F.col(node).alias("_node"), F.col(parent).alias("_parent"))
     level = at.where("_parent IS NULL").select("_node", F.col("_node").alias("root"), F.lit(1).alias("level"), F.concat(F.lit(separator), F.col("_node").cast("string")).alias("path"))
@@ -68,6 +70,7 @@ def hierarchy(edges: DataFrame, node: str, parent: str, separator: str = "/", mo
     for depth in range(2, most_levels + 2):
         above = level.select(F.col("_node").alias("_parent"), "root", F.col("path").alias("_above"))
         level = at.join(above, "_parent").select("_node", "root", F.lit(depth).alias("level"), F.concat("_above", F.lit(separator), F.col("_node").cast("string")).alias("path"))
+        level = written(level, "hierarchy")
         if level.limit(1).count() == 0:
             break
         if depth > most_levels:

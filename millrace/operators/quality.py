@@ -7,7 +7,7 @@ import json
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -115,6 +115,20 @@ def judge(value: float | None, samples: int | None, limits: Thresholds) -> str:
     return "pass"
 
 
+def judged(value: Column, samples: Column, limits: Thresholds) -> Column:
+    """The same verdict as a column, for a frame of many measurements."""
+    verdict = F.when(value.isNull() | samples.isNull() | (samples < limits.least_samples), "insufficient")
+    for status in ("error", "warn"):
+        below, above, outside = (getattr(limits, f"{status}_{k}") for k in ("below", "above", "outside"))
+        if below is not None:
+            verdict = verdict.when(value < below, status)
+        if above is not None:
+            verdict = verdict.when(value > above, status)
+        if outside is not None:
+            verdict = verdict.when(~value.between(*outside), status)
+    return verdict.otherwise("pass")
+
+
 def measure(measurement: DataFrame, limits: Thresholds) -> tuple[str, float | None, int | None]:
     """Judge a frame of one row with the columns value and sample_count."""
     row = measurement.select("value", "sample_count").first()

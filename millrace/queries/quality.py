@@ -50,12 +50,10 @@ def audit_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def measurement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same thresholds as `judge`, over a frame of measurements."""
     (events,) = tables_of(spark, sf_dir, "events")
     measured = events.groupBy("event_type").agg(F.avg("value").alias("value"), F.count("value").alias("sample_count"))
     limits = quality.Thresholds(warn_below=50, error_below=40, least_samples=5)
-    rows = [(r.event_type, quality.judge(r.value, r.sample_count, limits)) for r in measured.collect()]
-    return spark.createDataFrame(rows, "event_type string, status string")
+    return measured.select("event_type", quality.judged(F.col("value"), F.col("sample_count"), limits).alias("status"))
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from datetime import date
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.catalog import register_views
 from millrace.queries.base import QuerySet, tables_of
 from millrace.sources import generators, loaders, seeds
+from millrace.storage import new_path
 from millrace.streaming import twins
 
 QUERIES = QuerySet()
@@ -99,25 +97,19 @@ def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams ---------------------------------------------------------------------------------------
 
 
-def _streamed(spark: SparkSession, sf_dir: str, build, columns) -> DataFrame:
-    """Run a stream over the events to its end and give back what it wrote, small as it is after aggregation."""
+def _streamed(spark: SparkSession, sf_dir: str, build, columns, complete: bool = True) -> DataFrame:
+    """Run a stream over the events to its end and read what it wrote. Every batch has a folder of its number,
+    so a batch that is repeated after a failure replaces itself."""
     (events,) = tables_of(spark, sf_dir, "events")
-    folder = tempfile.mkdtemp(prefix="millrace-stream-")
-    rows: dict[int, list] = {}
-    shown: list = []
+    out, numbers = new_path(spark, "stream-out"), []
 
     def keep(batch: DataFrame, number: int) -> None:
-        out = columns(batch)
-        shown[:] = [out.schema]
-        rows[number] = out.collect()
+        columns(batch).write.mode("overwrite").parquet(f"{out}/{number}")
+        numbers.append(number)
 
-    try:
-        stream = twins.read_stream(spark, f"{sf_dir}/event[s].parquet", events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
-        twins.run_to_end(build(stream), str(Path(folder) / "checkpoint"), keep, mode="complete" if build is not _deduplicated else "append")
-    finally:
-        shutil.rmtree(folder, ignore_errors=True)
-    last = rows[max(rows)] if build is not _deduplicated else [r for n in sorted(rows) for r in rows[n]]
-    return spark.createDataFrame(last, shown[0])
+    stream = twins.read_stream(spark, f"{sf_dir}/event[s].parquet", events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    twins.run_to_end(build(stream), new_path(spark, "stream-state"), keep, mode="complete" if complete else "append")
+    return spark.read.parquet(*(f"{out}/{n}" for n in ([max(numbers)] if complete else sorted(set(numbers)))))
 
 
 def _tumbled(stream: DataFrame) -> DataFrame:
@@ -152,4 +144,4 @@ def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 @QUERIES.frame("q_stream_dedup", "SELECT event_id FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event is delivered twice and kept once."""
-    return _streamed(spark, sf_dir, _deduplicated, lambda b: b.select("event_id"))
+    return _streamed(spark, sf_dir, _deduplicated, lambda b: b.select("event_id"), complete=False)

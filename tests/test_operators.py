@@ -104,8 +104,12 @@ def test_dynamic_columns():
 
 
 @pytest.mark.parametrize(("value", "samples", "status"), [(100, 5, "pass"), (95, 5, "warn"), (80, 5, "error"), (80, 2, "insufficient"), (None, 9, "insufficient"), (99, None, "insufficient")])
-def test_measurements(value, samples, status):
-    assert quality.judge(value, samples, quality.Thresholds(warn_below=99, error_below=90, least_samples=3)) == status
+def test_measurements(spark, value, samples, status):
+    limits = quality.Thresholds(warn_below=99, error_below=90, least_samples=3)
+    assert quality.judge(value, samples, limits) == status
+    frame = spark.createDataFrame([(None if value is None else float(value), samples)], "value double, sample_count int")
+    assert frame.select(quality.judged(F.col("value"), F.col("sample_count"), limits)).first()[0] == status
+    assert quality.measure(frame, limits)[0] == status
 
 
 def test_audit_identity_ignores_argument_order():
