@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.shipping import ship_package
+from millrace.storage import scratch, written
+
+__all__ = ["class_sample", "hash_share", "scratch", "slices", "table", "written"]
 
 #: Bytes of UTF-8 text that one slice of an Arrow batch holds at most, unless a single text is longer.
 SLICE_BYTES = 4 << 20
@@ -25,29 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the checkpoint directory of the session."""
-    context = spark.sparkContext
-    known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
-    context.setCheckpointDir(path)
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read again: its lineage ends there, so a lost
-    executor costs no recomputation of what came before. The files go when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds at most `limit` bytes of text, or one row."""
     for batch in batches:
@@ -77,9 +54,3 @@ def class_sample(df: DataFrame, key: str, label: str, per_class: int, salt: str)
     for value, count in sorted(counts.items(), key=lambda x: str(x[0])):
         share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / count))).otherwise(share)
     return rows.where(hash_share(F.col(key), salt) < share), counts
-
-
-def worker_threads_off() -> None:
-    """Numeric libraries in a worker stay on the task's own core."""
-    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
-        os.environ.setdefault(name, "1")

@@ -5,9 +5,15 @@
 2. Texts with equal words are one node from here on. Nodes that share a band key with others are linked to the
    least node of that band if the signatures' estimate, corrected for chance collisions, allows it and
    the full sets confirm it. This is linear in the band keys, however large a band's group.
-3. Links already found make components. A band whose nodes are not one component is looked at again: each node
-   outside its leader's component meets the others, again by estimate and then by full sets.
-   So any two nodes that share a band end up in one component or have been compared.
+3. Links already found make components. A band whose nodes are not one component is looked at again, with a bound
+   besides the estimate: how many shingles two sets can share at most, by the counts of their hashes in bins.
+   In a band of few nodes, each node outside its leader's component meets the others. In a large one, nodes
+   meet over shingles: of the shingles of a family (nodes tied by large bands), those in more than `FEW` of
+   its nodes are common, the others rare. Nodes that share a rare shingle meet there, which is linear as
+   it has few nodes. A pair that shares none must share common ones for the similarity, so only
+   nodes made of common shingles for the most part are compared, block by block, by that bound.
+   All these pairs are confirmed on full sets. So any two nodes that share a band end up in one component,
+   have been compared, or cannot reach the similarity.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32, 5e-8, and is under the
 estimate's bound of 0.6 more than five standard deviations from its mean.
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices, written
+from millrace.llm.common import scratch, slices, written
 from millrace.llm.graph import connected_components
 from millrace.llm.membership import key_filter, split_by_filter
 from millrace.llm.textstats import WordHashes, words_of
@@ -37,6 +43,12 @@ ROWS = HASHES // BANDS
 #: Least estimate at which a pair goes on to be compared on its full sets.
 LEAST_ESTIMATE = 0.6
 PERCENT = 80
+#: A band of more nodes is large; a shingle in more nodes of a family is common.
+FEW = 32
+#: Bins of the sketch that bounds how many shingles two sets can share.
+BINS = 1024
+#: Nodes of a block that is compared, and of a block of nodes outside the largest component.
+BLOCK_ROWS, OUTSIDE_ROWS = 512, 128
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -178,6 +190,118 @@ def similar(n: str, m: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
 
+def band_pairs(rest: DataFrame, likely: str) -> DataFrame:
+    """Pairs of a band across components, but for those with the leader: one of them is outside the leader's."""
+    heads = rest.where("id = leader").select("band", F.col("root").alias("head"))
+    columns = [c for c in rest.columns if c not in ("band", "leader", "size")]
+    left = rest.join(heads, "band").where("root <> head").select("band", *(F.col(c).alias(f"{c}_a") for c in columns))
+    right = rest.where("id <> leader").select(F.col("band").alias("band_b"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    met = left.join(right, F.expr(f"band = band_b AND root_a <> root_b AND {likely}"))
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+
+def bounded(sets: DataFrame) -> DataFrame:
+    """(id, bits): which of `BINS` bins hold at least one, and at least two, of a set's hashes, and as the last
+    word how many hashes are beyond the second of their bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = []
+            for x in batch.column(1):
+                count = np.bincount((np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+                levels = [np.packbits(count >= least).view(np.int64) for least in (1, 2)]
+                words.append(np.concatenate([*levels, [np.maximum(count - 2, 0).sum()]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], ["id", "bits"])
+
+    return sets.select("id", "hashes").mapInArrow(run, "id bigint, bits array<bigint>")
+
+
+def bits_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The words of a column of sketches, a row for each."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy().view(np.uint64).reshape(-1, BINS // 64 * 2 + 1)
+
+
+def within_reach(bits_a: np.ndarray, bits_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets can have the similarity. Two sets share in each bin no more than the lesser of their
+    counts; the sum over the bins is taken from the bits, and bounded for what is beyond them."""
+    most = np.bitwise_count(bits_a[..., :-1] & bits_b[..., :-1]).sum(axis=-1, dtype=np.int64)
+    most += np.minimum(bits_a[..., -1], bits_b[..., -1]).astype(np.int64)
+    return ((100 + percent) * most >= percent * (n_a + n_b)) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+
+
+def reachable(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n_a, n_b = (batch.column(f"n_{x}").to_numpy() for x in "ab")
+                keep = within_reach(bits_of(batch.column("bits_a")), bits_of(batch.column("bits_b")), n_a, n_b, percent)
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    left, right = (sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """(family, id, root, shingle) of the nodes' sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                shingles = np.frombuffer(batch.column(3)[at].as_buffer(), np.int64)
+                rows = [pa.array(np.full(len(shingles), batch.column(c)[at].as_py(), np.int64)) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(shingles)], ["family", "id", "root", "shingle"])
+
+    return sets.select("family", "id", "root", "hashes").mapInArrow(run, "family bigint, id bigint, root bigint, shingle bigint")
+
+
+def large_band_pairs(large: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components of large bands that can reach the similarity at all."""
+    family = connected_components(large.select(F.col("leader").alias("a"), F.col("id").alias("b"))).withColumnRenamed("root", "family")
+    members = written(large.select("id", "root").distinct().join(family, "id"), "members")
+    rows = written(shingle_rows(sets.join(members, "id")), "shingles")
+    spread = written(rows.groupBy("family", "shingle").agg(F.count("*").alias("spread")).where("spread > 1"), "spread")
+    common = rows.join(spread.where(f"spread > {FEW}"), ["family", "shingle"]).groupBy("id").agg(F.count("*").alias("common"))
+    rare = rows.join(spread.where(f"spread <= {FEW}").select("family", "shingle"), ["family", "shingle"]).select("family", "shingle", "id", "root")
+    other = rare.select("family", "shingle", F.col("id").alias("other"), F.col("root").alias("other_root"))
+    shared = rare.join(other, ["family", "shingle"]).where("id < other AND root <> other_root").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    core = members.join(common, "id").join(sketches, "id").where(f"100 * common >= {percent} * n").drop("common")
+    return reachable(shared, sketches, percent).unionByName(block_pairs(core, percent))
+
+
+def block_pairs(core: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a family across components within reach: the nodes outside the family's largest component
+    against all, block by block. Blocks are of bounded expected size, and each pair of blocks is a group of its own; only
+    pairs within reach leave it."""
+    core = written(core, "core")
+    counts = core.groupBy("family", "root").agg(F.count("*").alias("nodes"))
+    family = counts.groupBy("family").agg(F.max_by("root", F.struct("nodes", "root")).alias("head"), F.sum("nodes").alias("total"), F.max("nodes").alias("largest")).where("total > largest")
+    family = family.select("family", "head", F.ceil((F.col("total") - F.col("largest")) / OUTSIDE_ROWS).cast("int").alias("outside_blocks"), F.ceil(F.col("total") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = core.join(family, "family").withColumn("place", F.xxhash64("id"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["family", "outside_block", "block", "id", "root", "n", "bits"]
+    outside = rows.where("root <> head").withColumn("outside_block", F.pmod("place", "outside_blocks").cast("int")).withColumn("block", every("blocks")).select(*columns)
+    against = rows.withColumn("block", F.pmod("place", "blocks").cast("int")).withColumn("outside_block", every("outside_blocks")).select(*columns)
+
+    def run(rows: pa.Table) -> pa.Table:
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        bits = bits_of(rows.column("bits"))
+        ids, roots, sizes, apart = (rows.column(c).to_numpy() for c in ("id", "root", "n", "apart"))
+        rest = np.flatnonzero(apart == 0)
+        for at in np.flatnonzero(apart == 1):
+            met = ids[rest][within_reach(bits[at][None, :], bits[rest], sizes[at], sizes[rest], percent) & (roots[rest] != roots[at])]
+            found_a.append(np.minimum(met, ids[at]))
+            found_b.append(np.maximum(met, ids[at]))
+        return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+
+    both = outside.withColumn("apart", F.lit(1)).unionByName(against.withColumn("apart", F.lit(0)))
+    return both.groupBy("family", "outside_block", "block").applyInArrow(run, "a bigint, b bigint")
+
+
+@scratch
 def near_duplicates(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
     """One row per document: n_shingles, component_id (the least id it is linked with) and kept."""
     prints = written(fingerprints(docs, size), "prints")
@@ -196,16 +320,18 @@ def near_duplicates(docs: DataFrame, size: int, percent: int = PERCENT) -> DataF
 
     # Bands whose nodes are not one component yet.
     placed = crowd.join(first, "id", "left").select("band", "leader", "id", F.coalesce("root", "id").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high AND size > 2").select("band")
-    rest = written(placed.join(mixed, "band", "left_semi").join(light, "id"), "mixed")
-    heads = rest.where("id = leader").select("band", F.col("root").alias("head"))
-    apart = rest.join(heads, "band").where("root <> head")
-    left = apart.select("band", F.col("id").alias("x"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("planes").alias("planes_a"))
-    right = rest.where("id <> leader").select(F.col("band").alias("band_b"), F.col("id").alias("y"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("planes").alias("planes_b"))
-    met = left.join(right, F.expr(f"band = band_b AND root_a <> root_b AND {likely}"))
-    more = written(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high AND size > 2").select("band", "size")
+    open_ = written(placed.join(mixed, "band"), "mixed")
+    sets = sets_of(docs, nodes, open_.select(F.col("id").alias("a"), F.col("id").alias("b")), size)
+    sketches = written(light.select("id", "n").join(bounded(sets), "id"), "bounds")
+    pairs = band_pairs(open_.join(light, "id").where(f"size <= {FEW}"), likely)
+    large = written(open_.where(f"size > {FEW}"), "large")
+    more = reachable(pairs.distinct(), sketches, percent)
+    if large.limit(1).count():
+        more = more.unionByName(large_band_pairs(large, sketches, sets, percent)).distinct()
+    more = written(more, "pairs")
     if more.limit(1).count():
-        found = written(confirmed(more, sets_of(docs, nodes, more, size), percent), "links")
+        found = written(confirmed(more, sets, percent), "links")
         roots = connected_components(links.unionByName(found))
     else:
         roots = first
@@ -223,7 +349,7 @@ def keep_one(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
     """The documents without those that a group's least id stands for, with all their columns. Rows with an
     id of which any row is kept stay, one of each text. Documents that a small filter of the dropped ids clears are
     not shuffled."""
-    found = written(near_duplicates(docs, size, percent), "kept")
+    found = near_duplicates(docs, size, percent)
     of_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows"))
     special = written(of_id.where("NOT kept OR rows > 1").select(F.col("doc_id").alias("__millrace_id"), "kept"), "dropped")
     bitmap, bits = key_filter(special, "__millrace_id", special.count())
