@@ -155,8 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Tox
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, least: float = LEAST_PROBABILITY) -> DataFrame:
-    """One row per document: the probability, the verdict, and the categories with theirs, in the order of
-    the chain."""
+    """One row per document: the probability, the verdict (toxic, or kept), and the categories with their
+    probabilities, in the order of the chain."""
     names = model.names if model else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,11 +165,11 @@ def score(docs: DataFrame, model: ToxicityModel | None, least: float = LEAST_PRO
             rows = [model.probabilities(parts.of(t)) if model else [] for t in batch.column(1).to_pylist()]
             last = [r[-1] if r else 0.0 for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(last, pa.float64()), pa.array([p >= least for p in last], pa.bool_()), pa.array([names] * len(rows), pa.list_(pa.string())), pa.array(rows, pa.list_(pa.float64()))],
-                ["doc_id", "score", "toxic", "categories", "probabilities"],
+                [batch.column(0), pa.array(last, pa.float64()), pa.array([p >= least for p in last], pa.bool_()), pa.array([p < least for p in last], pa.bool_()), pa.array([names] * len(rows), pa.list_(pa.string())), pa.array(rows, pa.list_(pa.float64()))],
+                ["doc_id", "score", "toxic", "kept", "categories", "probabilities"],
             )
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id bigint, score double, toxic boolean, categories array<string>, probabilities array<double>")
+    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id bigint, score double, toxic boolean, kept boolean, categories array<string>, probabilities array<double>")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel | None, least: float = LEAST_PROBABILITY) -> DataFrame:

@@ -58,7 +58,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, per_class: int, sa
 def featurised(sample: DataFrame, counts: dict, features: Callable[[list[str]], list[tuple[np.ndarray, np.ndarray]]]) -> Sample:
     """Compute features of (key, label, text) on the executors and gather them. Of rows that agree in the
     least hash of their three-word runs, which near copies mostly do, one is kept: a group of copies must
-    not outvote the rest."""
+    not outvote the rest. Rows without a key teach nothing, as they have no fixed order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -78,10 +78,11 @@ def featurised(sample: DataFrame, counts: dict, features: Callable[[list[str]],
     kind, key = (sample.schema[name].dataType.simpleString() for name in ("label", "key"))
     found = sample.select("key", "label", "text").mapInArrow(run, f"key {key}, label {kind}, print bigint, ids binary, vals binary").collect()
     kept: dict = {}
-    for row in sorted(found, key=lambda r: (r.key, bytes(r.ids))):
+    for row in sorted((r for r in found if r.key is not None), key=lambda r: (r.key, bytes(r.ids))):
         kept.setdefault((row.label, row.print), row)
     label = np.array([r.label for r in kept.values()], dtype=object)
     drawn = {v: int((label == v).sum()) for v in counts}
+    counts = {v: n for v, n in counts.items() if drawn[v]}
     total = sum(counts.values()) or 1
     weight = np.array([counts[v] / total * len(kept) / drawn[v] for v in label], dtype=np.float64)
     return Sample(label, [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.vals, np.float32)) for r in kept.values()], weight)
