@@ -32,7 +32,7 @@ def jaro(a: str, b: str) -> float:
     if not m:
         return 0.0
     other = [c for c, t in zip(b, taken, strict=True) if t]
-    swapped = sum(x != y for x, y in zip(common, other, strict=True)) / 2
+    swapped = sum(x != y for x, y in zip(common, other, strict=True)) // 2
     return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
 
 
