@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import scratch, written
 
 #: Weights of the sources in the order of their code points, over and over.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -128,6 +128,7 @@ def _round(number: int, last: bool):
     return settle
 
 
+@scratch
 def mix(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: size, its source's size and target, the copies, and the words taken."""
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import scratch, written
 
 #: For each function its parameters: (JSON type, whether required).
 Schemas = dict[str, dict[str, tuple[str, bool]]]
@@ -86,6 +86,7 @@ def settled_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").join(done, "node", "left").select("node.conv_id", "node.call_id", "level")
 
 
+@scratch
 def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """One row per call, and per result without a call: status, level, faults and canonical JSON."""
     one = first_of(calls.withColumn("depends_on", F.coalesce("depends_on", F.array().cast("array<string>"))), ["name", "arguments", "depends_on"])
