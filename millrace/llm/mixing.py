@@ -4,10 +4,12 @@ Every source gets a target of words by its weight, and every document of it the
 copies, target over size of the source. The whole part is taken for certain; the fraction is drawn by
 balanced sampling: inclusion probabilities move along directions that leave the totals of words and of
 documents as they are, until each is 0 or 1. Only as many documents as there are balancing totals can
-remain; those, and a dozen held back to settle them with, get the choice that misses the totals least.
+remain; those, and a dozen of each source held back from every flight to settle them with, get the choice
+that misses the totals least.
 
 A source is cut into buckets of a bounded expected number of documents by the hash of the id, so that a
-hot source is many tasks; what the buckets leave open (two documents each at most) meets in later rounds.
+hot source is many tasks; what the buckets leave open (those held back and two documents each at most) meets
+in later rounds, which hold back a dozen again.
 All draws are seeded by source, bucket and round, so reruns agree.
 
 Cases: a null text has size 0; a null source is a source of its own, behind all others; sources without words
@@ -103,7 +105,7 @@ def landing(sizes: list[float], chances: list[float]) -> list[float]:
 
 
 def reserved(chances: list[float], count: int = LANDING) -> list[int]:
-    """Rows kept out of the last flight for the landing: spread evenly over the open rows, large to small."""
+    """Rows kept out of a bucket's flight for the landing: spread evenly over the open rows, large to small."""
     open_ = [i for i, p in enumerate(chances) if EPSILON < p < 1 - EPSILON]
     return open_ if len(open_) <= count else [open_[(2 * k + 1) * len(open_) // (2 * count)] for k in range(count)]
 
@@ -116,7 +118,7 @@ def _round(number: int, last: bool):
         # Large documents first: what stays open is small.
         pdf = pdf.sort_values(["size", "id_hash", "doc_id"], ascending=[False, True, True], kind="stable")
         sizes, chances = pdf["size"].astype(float).tolist(), pdf["chance"].tolist()
-        back = reserved(chances) if last else []
+        back = reserved(chances)
         kept = [chances[i] for i in back]
         for i in back:
             chances[i] = 0.0
@@ -148,7 +150,7 @@ def mix(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
         settled.append(done.where("chance IN (0.0, 1.0)"))
         if last:
             break
-        number, merge = number + 1, max(2, bucket_rows // 2)
+        number, merge = number + 1, max(2, bucket_rows // (LANDING + 2))
         count = max(1, -(-count // merge))
         state = done.where("chance NOT IN (0.0, 1.0)").withColumn("bucket", F.floor(F.col("bucket") / merge))
     chosen = settled[0]

@@ -53,6 +53,24 @@ def test_mix_meets_targets(spark, bucket_rows, near):
     assert Counter(again.collect()) == Counter(found)
 
 
+def test_mix_lands_small_sources_closely_beside_a_large_one(spark):
+    """The large source needs three rounds; the small one is to have a reserve in the last of them."""
+    rng = random.Random(11)
+    counts = {"large": 400, "small": 40}
+    longest = {"large": 100, "small": 3000}
+    made = [(i, " ".join(["w"] * rng.randint(longest[s] // 10, longest[s])), None, s, 0, "w", i) for i, s in enumerate(s for s, n in counts.items() for _ in range(n))]
+    docs = spark.createDataFrame(made, DOCS)
+    source = {r[0]: r[3] for r in made}
+    sizes, taken = defaultdict(int), defaultdict(int)
+    found = mixing.mix(docs, 60).collect()
+    for r in found:
+        sizes[source[r.doc_id]] += r.size
+        taken[source[r.doc_id]] += r.taken
+    want = water_filled(sizes)
+    assert want["small"] % sizes["small"] and len(found) == len(made)
+    assert all(abs(taken[s] - want[s]) <= 20 for s in counts), (dict(taken), want)
+
+
 def test_mix_edges(spark):
     found = mixing.mix(documents(spark)).collect()
     assert len(found) == len(rows())
