@@ -55,6 +55,14 @@ def loader_delete_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaders.load(target, staged, "delete_insert", cursor="event_id")
 
 
+@QUERIES.frame("q_loader_delete_insert_whole", "SELECT event_id, CASE WHEN event_id BETWEEN 50 AND 99 THEN 'new' ELSE event_type END AS event_type FROM events")
+def loader_delete_insert_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staged rows replace a range inside the whole table."""
+    (events,) = tables_of(spark, sf_dir, "events")
+    staged = loaders.stage(spark, ({"event_id": i, "event_type": "new"} for i in range(50, 100)))
+    return loaders.load(events.select("event_id", "event_type"), staged, "delete_insert", cursor="event_id")
+
+
 # --- functions -------------------------------------------------------------------------------------
 
 

@@ -29,3 +29,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(FUNCTIONS) <= set(__spark_entry__.queries())
+
+
+def test_delete_insert_covers_the_whole_table(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    found = FUNCTIONS["q_loader_delete_insert_whole"](spark, sf_dir)
+    assert found.count() == events > 100 and found.where("event_type = 'new'").count() == 50
