@@ -35,3 +35,8 @@ def test_delete_insert_covers_the_whole_table(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     found = FUNCTIONS["q_loader_delete_insert_whole"](spark, sf_dir)
     assert found.count() == events > 100 and found.where("event_type = 'new'").count() == 50
+
+
+def test_flatten_gives_every_element(spark, sf_dir):
+    elements = sum(len(r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("embedding").collect())
+    assert FUNCTIONS["q_lateral_flatten_whole"](spark, sf_dir).count() == elements
