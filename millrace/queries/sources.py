@@ -124,12 +124,19 @@ def _tumbled(stream: DataFrame) -> DataFrame:
     return twins.tumbling(stream, "ts", "6 hours", "1 day", "event_type")
 
 
-def _sessioned(stream: DataFrame) -> DataFrame:
-    return twins.session_counts(stream, "ts", "30 minutes", "1 day", "user_id")
+def _span(spark: SparkSession, sf_dir: str) -> str:
+    """A lateness longer than the events' times span, so that none is behind the watermark in whatever order files come."""
+    (events,) = tables_of(spark, sf_dir, "events")
+    low, high = events.select(F.unix_seconds(F.col("ts").cast("timestamp")).alias("s")).agg(F.min("s"), F.max("s")).first()
+    return f"{(high or 0) - (low or 0) + 2} seconds"
+
+
+def _sessioned(stream: DataFrame, late: str) -> DataFrame:
+    return twins.session_counts(stream, "ts", "30 minutes", late, "user_id")
 
 
-def _deduplicated(stream: DataFrame) -> DataFrame:
-    return twins.deduplicated(stream.union(stream), "ts", "60 days", "event_id")
+def _deduplicated(stream: DataFrame, late: str) -> DataFrame:
+    return twins.deduplicated(stream.union(stream), "ts", late, "event_id")
 
 
 @QUERIES.frame("q_stream_tumbling", "SELECT epoch_us(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '2024-01-01 00:00:00')) AS start_us, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2")
@@ -146,10 +153,12 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, _sessioned, lambda b: b.select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n"))
+    late = _span(spark, sf_dir)
+    return _streamed(spark, sf_dir, lambda s: _sessioned(s, late), lambda b: b.select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n"))
 
 
 @QUERIES.frame("q_stream_dedup", "SELECT event_id FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event is delivered twice and kept once."""
-    return _streamed(spark, sf_dir, _deduplicated, lambda b: b.select("event_id"), complete=False)
+    late = _span(spark, sf_dir)
+    return _streamed(spark, sf_dir, lambda s: _deduplicated(s, late), lambda b: b.select("event_id"), complete=False)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
+import duckdb
 import pytest
 
 from millrace import queries
@@ -40,3 +44,21 @@ def test_delete_insert_covers_the_whole_table(spark, sf_dir):
 def test_flatten_gives_every_element(spark, sf_dir):
     elements = sum(len(r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("embedding").collect())
     assert FUNCTIONS["q_lateral_flatten_whole"](spark, sf_dir).count() == elements
+
+
+@pytest.mark.parametrize("name", ["q_stream_session", "q_stream_dedup"])
+def test_streams_keep_files_out_of_time_order(spark, sf_dir, tmp_path, name):
+    """Three files of five events, of days 120, 1 and 2."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for at, day in enumerate((120, 1, 2)):
+        made = spark.range(at * 5, at * 5 + 5).selectExpr("id AS event_id", f"TIMESTAMP '2024-01-01' + make_dt_interval({day}, CAST(id AS INT)) AS ts", "1 AS user_id", "'view' AS event_type")
+        rows = made.selectExpr(*(f"CAST({f.name if f.name in made.columns else 'NULL'} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema))
+        rows.coalesce(1).write.parquet(str(tmp_path / f"part{at}"))
+        (written,) = Path(tmp_path / f"part{at}").glob("*.parquet")
+        written.rename(folder / f"{at}.parquet")
+        os.utime(folder / f"{at}.parquet", (1_700_000_000 + 60 * at,) * 2)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/*.parquet'")
+    same_rows(FUNCTIONS[name](spark, str(tmp_path)), con, ORACLES[name])
