@@ -1,4 +1,5 @@
-"""Quality rules: counts over whole texts, and a calibrated logistic regression on hashed n-grams.
+"""Quality rules: counts over whole texts, and a calibrated logistic regression on hashed n-grams
+(runs of one to three words, and of two and three characters).
 
 The regression is fitted on a sample of the labelled rows (`per_class` of each label), its margins out of
 fold give a Platt calibration, and every document is scored in Arrow batches against fixed thresholds.
@@ -19,10 +20,12 @@ from pyspark.sql import DataFrame
 
 from millrace.llm import linear
 from millrace.llm.common import slices
-from millrace.llm.textstats import WordHashes, base_counts, char_grams, code_points, mixed, words_of
+from millrace.llm.textstats import WordHashes, base_counts, char_grams, code_points, mixed, word_grams, words_of
 from millrace.llm.training import PER_CLASS, Sample, featurised, labelled
 
 WORD_BITS = CHAR_BITS = 12
+#: Words in a run that is a feature.
+WORD_ORDERS = (1, 2, 3)
 DIMS = (1 << WORD_BITS) + (1 << CHAR_BITS)
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -49,7 +52,9 @@ def block(grams: np.ndarray, bits: int, salt: int) -> np.ndarray:
 
 def features_of(text: str | None, words: list[bytes], hashes: WordHashes) -> np.ndarray:
     chars = np.concatenate([char_grams(code_points(text or ""), order) for order in (2, 3)])
-    return np.concatenate([block(hashes.of(words), WORD_BITS, 1), block(chars, CHAR_BITS, 2)])
+    single = hashes.of(words)
+    runs = np.concatenate([word_grams(single, order) for order in WORD_ORDERS])
+    return np.concatenate([block(runs, WORD_BITS, 1), block(chars, CHAR_BITS, 2)])
 
 
 def sample_features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -163,6 +163,12 @@ def held_out(spark, frame, labels, label, predicted):
     return rows_
 
 
+def test_quality_rules_see_the_order_of_words():
+    hashes = textstats.WordHashes()
+    there, back = (quality_rules.features_of(t, textstats.words_of(t), hashes)[: 1 << quality_rules.WORD_BITS] for t in ("one two three four", "four two one three"))
+    assert np.count_nonzero(there) == np.count_nonzero(back) == 9 and (there != back).any()
+
+
 def test_quality_score_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     found = registry.op7_quality_score(spark, sf)
