@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most bits of a filter: as a table of 64-bit words it is 8 MB at most, whatever the number of keys.
+#: Most bits of a filter: as a table of 64-bit words it is 8 MB at most, whatever the number of keys. Beyond some
+#: two million keys it lets more and more of the other rows through, and of a hundred million nearly all: those are shuffled
+#: and dropped by the join that follows, so the result is the same and the worst case is one shuffle of the table.
 MOST_BITS = 1 << 25
 LEAST_BITS = 1 << 12
 

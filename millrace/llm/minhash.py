@@ -8,18 +8,23 @@
 3. Links already found make components. A band whose nodes are not one component is looked at again, with a bound
    besides the estimate: how many shingles two sets can share at most, by the counts of their hashes in bins.
    In a band of few nodes, each node outside its leader's component meets the others. In a large one, nodes
-   meet over shingles: of the shingles of a family (nodes tied by large bands), those in more than `FEW` of
-   its nodes are common, the others rare. Nodes that share a rare shingle meet there, which is linear as
-   it has few nodes. A pair that shares none must share common ones for the similarity, so only
-   nodes made of common shingles for the most part are compared, block by block, by that bound.
-   All these pairs are confirmed on full sets. So any two nodes that share a band end up in one component,
-   have been compared, or cannot reach the similarity.
+   meet over the rarest shingles: each set's shingles are put in the order of how many nodes of the family (nodes
+   tied by large bands) have them, and sets of the similarity share one of the first fifth of both. Where that
+   shingle is in at most `FEW` nodes, the nodes meet there, which is linear. Where it is in more, both sets
+   are made of common shingles for the most part and share nothing else; of such nodes those that can
+   reach the similarity with any set at all are compared, tile by tile, by the counts of their common shingles and by
+   the bound. So any two nodes that share a band end up in one component, have been compared, or cannot
+   reach the similarity.
+
+Pairs are confirmed on full sets, hot leaders in parts: the members of a leader are dealt into parts of `PART_ROWS`
+expected rows, and its set goes once to each part. Only texts that a filter of the wanted rows lets through are shuffled.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32, 5e-8, and is under the
 estimate's bound of 0.6 more than five standard deviations from its mean.
 
 Cases: a null or empty text has no shingles and links with nothing; a text with fewer words than a shingle
-is one shingle; equal rows are one group; nodes' ids are fixed by a written table, so lost executors do
+is one shingle; equal rows are one group; rows without an id are compared like others, their group's id is the least
+one there is, null if there is none; nodes' ids are fixed by a written table, so lost executors do
 not change them; an empty table gives no rows.
 """
 
@@ -27,10 +32,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import scratch, slices, written
@@ -47,8 +53,10 @@ PERCENT = 80
 FEW = 32
 #: Bins of the sketch that bounds how many shingles two sets can share.
 BINS = 1024
-#: Nodes of a block that is compared, and of a block of nodes outside the largest component.
-BLOCK_ROWS, OUTSIDE_ROWS = 512, 128
+#: Members of a leader that are confirmed in one group, by expectation.
+PART_ROWS = 64
+#: Nodes on one side of a tile: by expectation as many tiles as `TILES` to a side, within these bounds.
+LEAST_TILE, MOST_TILE, TILES = 256, 8192, 16
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -120,8 +128,14 @@ def estimate(a: str, b: str) -> str:
     return f"(({same} - {chance}D) / {1 - chance}D)"
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, mark): the mark stands for the row's id and text, whether it has an id or not."""
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return given.withColumn("mark", F.xxhash64("doc_id", "text"))
+
+
 def fingerprints(docs: DataFrame, size: int) -> DataFrame:
-    """One row per document: the digest of its words (null without words), the size of its set, the bit
+    """One row per document: its mark, the digest of its words (null without words), the size of its set, the bit
     planes and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,48 +155,79 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
                     keys.append(None)
                     planes.append(None)
                     bands.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(planes, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "n_shingles", "planes", "bands"])
+            columns = [pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(planes, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "mark", "key", "n_shingles", "planes", "bands"])
+
+    return marked(docs).mapInArrow(run, "doc_id bigint, mark bigint, key binary, n_shingles bigint, planes array<bigint>, bands array<bigint>")
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id bigint, key binary, n_shingles bigint, planes array<bigint>, bands array<bigint>")
 
+def wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(mark, doc, text) of the rows that `wanted` names by mark and doc, each once. A mark that two rows share is told
+    apart by the id; only rows that a small filter lets through are shuffled."""
+    bitmap, bits = key_filter(wanted, "mark", wanted.count())
+    near, _ = split_by_filter(marked(docs).withColumn("doc", F.coalesce("doc_id", F.lit(-1))), F.col("mark"), bitmap, bits)
+    return near.groupBy("mark", "doc").agg(F.first("text").alias("text"))
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(key, packed sorted hashes) of each document."""
+
+def named_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(id, packed sorted hashes) of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in slices(batches):
-            words = [words_of(t, lower=True) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(b" ".join(w)).digest() for w in words], pa.binary()), pa.array([shingler.shingles(w).tobytes() for w in words], pa.binary())], ["key", "hashes"])
+            hashes = [shingler.shingles(words_of(t, lower=True)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary())], ["id", "hashes"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, hashes binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key binary, hashes binary")
+def parts_of_pairs(pairs: DataFrame) -> DataFrame:
+    """(id, a, part, b): the node whose set a part of leader `a` needs; without `b` it is the leader's own."""
+    sized = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    members = pairs.join(sized, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    leaders = sized.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"))
+    return members.unionByName(leaders)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets meet the similarity."""
+def packed_sets(rows: DataFrame, size: int) -> DataFrame:
+    """(a, part, b, hashes) of rows (id, a, part, b, text): a text that follows itself is cut once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(a) + len(b) - len(np.union1d(a, b))
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        shingler, last, packed = Shingler(size), None, b""
+        for batch in slices(batches):
+            out = []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if node != last:
+                    last, packed = node, shingler.shingles(words_of(text, lower=True)).tobytes()
+                out.append(packed)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(out, pa.binary())], ["a", "part", "b", "hashes"])
 
-    left, right = (sets.select(F.col("id").alias(x), F.col("hashes").alias(f"hashes_{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("id", "a", "part", "b", "text").mapInArrow(run, "a bigint, part int, b bigint, hashes binary")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """(id, hashes) of the nodes in the pairs. Only documents that a small filter lets through are shuffled."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = written(nodes.join(ids, "id", "left_semi").select("id", "key", "rep"), "wanted")
-    bitmap, bits = key_filter(wanted.where("rep IS NOT NULL"), "rep", wanted.count())
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    near, _ = split_by_filter(source, F.col("doc_id"), bitmap, bits)
-    found = shingle_sets(near.where("text IS NOT NULL"), size)
-    return written(found.join(wanted, "key").select("id", "hashes").groupBy("id").agg(F.first("hashes").alias("hashes")), "sets")
+def confirmed(parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets meet the similarity, of rows (a, part, b, hashes). In each part the leader's own row
+    comes first, and the members' pass by it one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            found_a, found_b = [], []
+            for a, part, b, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                hashes = np.frombuffer(packed.as_buffer(), np.uint64)
+                if b is None:
+                    at, own = (a, part), hashes.copy()
+                    continue
+                if at != (a, part):
+                    raise ValueError(f"the set of node {a} is missing: the documents changed while they were read")
+                common = len(own) + len(hashes) - len(np.union1d(own, hashes))
+                if 100 * common >= percent * (len(own) + len(hashes) - common):
+                    found_a.append(a)
+                    found_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+
+    dealt = parts.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def similar(n: str, m: str, percent: int) -> str:
@@ -263,99 +308,145 @@ def large_band_pairs(large: DataFrame, sketches: DataFrame, sets: DataFrame, per
     family = connected_components(large.select(F.col("leader").alias("a"), F.col("id").alias("b"))).withColumnRenamed("root", "family")
     members = written(large.select("id", "root").distinct().join(family, "id"), "members")
     rows = written(shingle_rows(sets.join(members, "id")), "shingles")
-    spread = written(rows.groupBy("family", "shingle").agg(F.count("*").alias("spread")).where("spread > 1"), "spread")
-    common = rows.join(spread.where(f"spread > {FEW}"), ["family", "shingle"]).groupBy("id").agg(F.count("*").alias("common"))
-    rare = rows.join(spread.where(f"spread <= {FEW}").select("family", "shingle"), ["family", "shingle"]).select("family", "shingle", "id", "root")
+    spread = rows.groupBy("family", "shingle").agg(F.count("*").alias("spread")).where("spread > 1")
+    shared = written(rows.join(spread, ["family", "shingle"]), "spread")
+    counts = shared.groupBy("id").agg(F.count("*").alias("shared"), F.count_if(F.col("spread") > FEW).alias("common"))
+    known = written(members.join(sketches, "id").join(counts, "id"), "counted")
+    # Shingles of one node alone come first in its order; they take places and meet nobody.
+    order = F.row_number().over(Window.partitionBy("id").orderBy("spread", "shingle"))
+    placed = shared.join(known.select("id", (F.col("n") - F.col("shared")).alias("alone"), F.floor(F.col("n") * (100 - percent) / 100).alias("first")), "id")
+    rare = placed.withColumn("place", F.col("alone") + order).where(f"place <= first + 1 AND spread <= {FEW}").select("family", "shingle", "id", "root")
     other = rare.select("family", "shingle", F.col("id").alias("other"), F.col("root").alias("other_root"))
-    shared = rare.join(other, ["family", "shingle"]).where("id < other AND root <> other_root").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    core = members.join(common, "id").join(sketches, "id").where(f"100 * common >= {percent} * n").drop("common")
-    return reachable(shared, sketches, percent).unionByName(block_pairs(core, percent))
-
-
-def block_pairs(core: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a family across components within reach: the nodes outside the family's largest component
-    against all, block by block. Blocks are of bounded expected size, and each pair of blocks is a group of its own; only
-    pairs within reach leave it."""
-    core = written(core, "core")
-    counts = core.groupBy("family", "root").agg(F.count("*").alias("nodes"))
-    family = counts.groupBy("family").agg(F.max_by("root", F.struct("nodes", "root")).alias("head"), F.sum("nodes").alias("total"), F.max("nodes").alias("largest")).where("total > largest")
-    family = family.select("family", "head", F.ceil((F.col("total") - F.col("largest")) / OUTSIDE_ROWS).cast("int").alias("outside_blocks"), F.ceil(F.col("total") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = core.join(family, "family").withColumn("place", F.xxhash64("id"))
+    met = rare.join(other, ["family", "shingle"]).where("id < other AND root <> other_root").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    core = known.where(f"100 * common >= {percent} * n")
+    return reachable(met, sketches, percent).unionByName(tiled_pairs(core, percent))
+
+
+def tiled_pairs(core: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a family across components that can reach the similarity with common shingles alone. Two sets share
+    no more than the lesser of their common counts, so one of the two is an anchor: a set whose common shingles would do
+    for a partner of its own size. And one of the two is outside the family's largest component. Tiles are
+    of bounded expected size, and each is a group of its own; only pairs within reach leave it."""
+    core = written(core.withColumn("anchor", F.expr(f"{100 + percent} * common >= {2 * percent} * n")).select("family", "id", "root", "n", "common", "anchor", "bits"), "core")
+    heads = core.groupBy("family", "root").agg(F.count("*").alias("nodes")).groupBy("family").agg(F.max_by("root", F.struct("nodes", "root")).alias("head"))
+    rows = core.join(heads, "family").withColumn("out", F.col("root") != F.col("head"))
+    sides = [("out AND anchor", "true"), ("out AND NOT anchor", "anchor AND NOT out")]
+    tile = lambda n: F.least(F.greatest(F.ceil(F.col(n) / TILES), F.lit(LEAST_TILE)), F.lit(MOST_TILE))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["family", "outside_block", "block", "id", "root", "n", "bits"]
-    outside = rows.where("root <> head").withColumn("outside_block", F.pmod("place", "outside_blocks").cast("int")).withColumn("block", every("blocks")).select(*columns)
-    against = rows.withColumn("block", F.pmod("place", "blocks").cast("int")).withColumn("outside_block", every("outside_blocks")).select(*columns)
+    columns = ["family", "way", "row", "column", "id", "root", "n", "common", "bits", "left"]
+    parts = []
+    for way, (left, right) in enumerate(sides):
+        sizes = rows.groupBy("family").agg(F.count_if(F.expr(left)).alias("lefts"), F.count_if(F.expr(right)).alias("rights")).where("lefts > 0 AND rights > 0")
+        sizes = sizes.select("family", F.ceil(F.col("lefts") / tile("lefts")).cast("int").alias("rows"), F.ceil(F.col("rights") / tile("rights")).cast("int").alias("columns"))
+        placed = rows.join(sizes, "family").withColumn("place", F.xxhash64("id")).withColumn("way", F.lit(way))
+        parts.append(placed.where(left).withColumn("row", F.pmod("place", "rows").cast("int")).withColumn("column", every("columns")).withColumn("left", F.lit(True)).select(*columns))
+        parts.append(placed.where(right).withColumn("column", F.pmod("place", "columns").cast("int")).withColumn("row", every("rows")).withColumn("left", F.lit(False)).select(*columns))
 
     def run(rows: pa.Table) -> pa.Table:
         found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         bits = bits_of(rows.column("bits"))
-        ids, roots, sizes, apart = (rows.column(c).to_numpy() for c in ("id", "root", "n", "apart"))
-        rest = np.flatnonzero(apart == 0)
-        for at in np.flatnonzero(apart == 1):
-            met = ids[rest][within_reach(bits[at][None, :], bits[rest], sizes[at], sizes[rest], percent) & (roots[rest] != roots[at])]
+        ids, roots, sizes, common = (rows.column(c).to_numpy() for c in ("id", "root", "n", "common"))
+        left = rows.column("left").to_numpy()
+        rest = np.flatnonzero(~left)
+        for at in np.flatnonzero(left):
+            can = (100 + percent) * np.minimum(common[at], common[rest]) >= percent * (sizes[at] + sizes[rest])
+            some = rest[can & (roots[rest] != roots[at])]
+            met = ids[some][within_reach(bits[at][None, :], bits[some], sizes[at], sizes[some], percent)]
             found_a.append(np.minimum(met, ids[at]))
             found_b.append(np.maximum(met, ids[at]))
         return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
 
-    both = outside.withColumn("apart", F.lit(1)).unionByName(against.withColumn("apart", F.lit(0)))
-    return both.groupBy("family", "outside_block", "block").applyInArrow(run, "a bigint, b bigint")
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return both.groupBy("family", "way", "row", "column").applyInArrow(run, "a bigint, b bigint")
 
 
-@scratch
-def near_duplicates(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
-    """One row per document: n_shingles, component_id (the least id it is linked with) and kept."""
+def crowded(nodes: DataFrame) -> DataFrame:
+    """(band, id, leader) of the nodes in bands that several have; the leader is the least of them."""
+    members = nodes.select("id", F.explode("bands").alias("band"))
+    leaders = written(members.groupBy("band").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("band", "leader"), "leaders")
+    bitmap, bits = key_filter(leaders, "band", leaders.count())
+    near, _ = split_by_filter(members, F.col("band"), bitmap, bits)
+    return written(near.join(leaders, "band"), "crowd")
+
+
+@dataclass(frozen=True)
+class Groups:
+    """Written tables: of every document (doc_id, mark, key, n_shingles), and of every digest of words its node's
+    component: the least id there is, and the row that stands for it."""
+
+    prints: DataFrame
+    components: DataFrame
+
+
+def group_documents(docs: DataFrame, size: int, percent: int = PERCENT) -> Groups:
     prints = written(fingerprints(docs, size), "prints")
-    groups = prints.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("planes").alias("planes"), F.first("bands").alias("bands"))
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("anonymous"), "doc_id", "mark"))
+    groups = prints.where("key IS NOT NULL").groupBy("key").agg(first_row.alias("first"), F.first("n_shingles").alias("n"), F.first("planes").alias("planes"), F.first("bands").alias("bands"))
     nodes = written(groups.withColumn("id", F.monotonically_increasing_id()), "nodes")
     light = nodes.select("id", "n", "planes")
-    members = nodes.select("id", F.explode("bands").alias("band"))
-    leaders = written(members.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1").select("band", "leader"), "leaders")
-    crowd = written(members.join(leaders, "band"), "crowd")
+    where = nodes.select("id", F.col("first.mark").alias("mark"), F.coalesce("first.doc_id", F.lit(-1)).alias("doc"))
+    crowd = crowded(nodes)
     side = lambda x: light.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("planes").alias(f"planes_{x}"))
     likely = f"{similar('n_a', 'n_b', percent)} AND {estimate('planes_a', 'planes_b')} >= {LEAST_ESTIMATE}"
     star = crowd.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     star = written(star.join(side("b"), "b").join(side("a"), "a").where(likely).select("a", "b"), "pairs")
-    links = written(confirmed(star, sets_of(docs, nodes, star, size), percent), "links")
-    first = connected_components(links)
+    asked = written(parts_of_pairs(star).join(where, "id"), "asked")
+    told = wanted_texts(docs, asked.select("mark", "doc").distinct()).join(asked, ["mark", "doc"])
+    links = written(confirmed(packed_sets(told, size), percent), "links")
+    roots = connected_components(links)
 
     # Bands whose nodes are not one component yet.
-    placed = crowd.join(first, "id", "left").select("band", "leader", "id", F.coalesce("root", "id").alias("root"))
+    placed = crowd.join(roots, "id", "left").select("band", "leader", "id", F.coalesce("root", "id").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high AND size > 2").select("band", "size")
     open_ = written(placed.join(mixed, "band"), "mixed")
-    sets = sets_of(docs, nodes, open_.select(F.col("id").alias("a"), F.col("id").alias("b")), size)
-    sketches = written(light.select("id", "n").join(bounded(sets), "id"), "bounds")
-    pairs = band_pairs(open_.join(light, "id").where(f"size <= {FEW}"), likely)
+    pairs = written(band_pairs(open_.join(light, "id").where(f"size <= {FEW}"), likely).distinct(), "pairs")
     large = written(open_.where(f"size > {FEW}"), "large")
-    more = reachable(pairs.distinct(), sketches, percent)
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(large.select("id")).distinct()
+    wanted = written(where.join(ids, "id", "left_semi"), "wanted")
+    sets = written(named_sets(wanted_texts(docs, wanted).join(wanted, ["mark", "doc"]), size), "sets")
+    sketches = written(light.select("id", "n").join(bounded(sets), "id"), "bounds")
+    more = reachable(pairs, sketches, percent)
     if large.limit(1).count():
         more = more.unionByName(large_band_pairs(large, sketches, sets, percent)).distinct()
     more = written(more, "pairs")
     if more.limit(1).count():
-        found = written(confirmed(more, sets, percent), "links")
-        roots = connected_components(links.unionByName(found))
-    else:
-        roots = first
+        again = parts_of_pairs(more).join(sets, "id").select("a", "part", "b", "hashes")
+        roots = connected_components(links.unionByName(written(confirmed(again, percent), "links")))
 
-    named = nodes.select("id", "key", "rep").join(roots, "id")
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    component = written(named.join(least, "root").select("key", "component_id"), "components")
-    single = nodes.select("key", "rep").join(component, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
-    out = prints.select("doc_id", "n_shingles", "key").join(single, "key", "left")
-    component_id = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, component_id.isNull()).alias("kept"))
+    named = nodes.select("id", "key", "first").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    components = written(named.join(least, "root").select("key", F.col("least.doc_id").alias("component_id"), F.col("least.mark").alias("least_mark")), "components")
+    return Groups(prints.select("doc_id", "mark", "key", "n_shingles"), components)
 
 
+@scratch
+def near_duplicates(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
+    """One row per document: n_shingles, component_id (the least id it is linked with) and kept: whether its id is that
+    one. A group without any id has a null component_id, and its row of the least mark is kept."""
+    found = group_documents(docs, size, percent)
+    plain = found.prints.where("key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    grouped = found.prints.where("key IS NOT NULL").join(found.components, "key")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("mark") == F.col("least_mark")))
+    return grouped.select("doc_id", "n_shingles", "component_id", kept.alias("kept")).unionByName(plain)
+
+
+@scratch
 def keep_one(docs: DataFrame, size: int, percent: int = PERCENT) -> DataFrame:
-    """The documents without those that a group's least id stands for, with all their columns. Rows with an
-    id of which any row is kept stay, one of each text. Documents that a small filter of the dropped ids clears are
-    not shuffled."""
-    found = near_duplicates(docs, size, percent)
-    of_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("rows"))
-    special = written(of_id.where("NOT kept OR rows > 1").select(F.col("doc_id").alias("__millrace_id"), "kept"), "dropped")
-    bitmap, bits = key_filter(special, "__millrace_id", special.count())
-    maybe, clear = split_by_filter(docs, F.col("doc_id").cast("bigint"), bitmap, bits)
-    joined = maybe.join(special.withColumnRenamed("kept", "__millrace_kept"), F.col("doc_id").cast("bigint") == F.col("__millrace_id"), "left")
-    out = clear.unionByName(joined.where("__millrace_id IS NULL").select(*docs.columns))
-    if special.where("kept").limit(1).count():
-        out = out.unionByName(joined.where("__millrace_kept").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    """The documents without those that another row of their group stands for: the row of the least id, of those the
+    one of the least mark, and of equal rows one. Texts without words all stay. All columns are kept, and documents
+    that a small filter of the marks in question clears are not shuffled."""
+    found = group_documents(docs, size, percent)
+    rows = found.prints.where("key IS NOT NULL").groupBy("key", "mark", "doc_id").agg(F.count("*").alias("rows"))
+    judged = rows.join(found.components, "key").select("mark", F.coalesce("doc_id", F.lit(-1)).alias("doc"), (F.col("mark") == F.col("least_mark")).alias("stays"), "rows")
+    special = written(judged.where("NOT stays OR rows > 1").select(F.col("mark").alias("__millrace_mark"), F.col("doc").alias("__millrace_doc"), F.col("stays").alias("__millrace_stays")), "dropped")
+    bitmap, bits = key_filter(special, "__millrace_mark", special.count())
+    mark, doc = F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1))
+    maybe, clear = split_by_filter(docs, mark, bitmap, bits)
+    asked = maybe.withColumn("__millrace_own", mark).withColumn("__millrace_id", doc)
+    joined = asked.join(special, (F.col("__millrace_own") == F.col("__millrace_mark")) & (F.col("__millrace_id") == F.col("__millrace_doc")), "left")
+    out = clear.unionByName(joined.where("__millrace_mark IS NULL").select(*docs.columns))
+    if special.where("__millrace_stays").limit(1).count():
+        out = out.unionByName(joined.where("__millrace_stays").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
     return out

@@ -155,8 +155,8 @@ def family(seed: int, copies: int, change: float) -> list[str]:
 def test_near_duplicates_match_brute_force(spark, monkeypatch, size, few):
     """Families of copies whose similarities lie around the threshold; with a small `FEW` they are large bands."""
     monkeypatch.setattr(minhash, "FEW", few)
-    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(minhash, "OUTSIDE_ROWS", 8)
+    for name, value in (("LEAST_TILE", 8), ("TILES", 3), ("MOST_TILE", 16), ("PART_ROWS", 4)):
+        monkeypatch.setattr(minhash, name, value)
     texts = [t for seed, n, change in ((1, 60, 0.1), (2, 25, 0.3), (3, 10, 0.02)) for t in family(seed, n, change)]
     texts += ["", " \n", "Solo", "solo", "solo other", *texts[:5], *(prose(i, 30) for i in range(20))]
     rng = random.Random(9)
@@ -178,11 +178,33 @@ def test_near_duplicates_edges(spark):
     assert len(same) == 4 and {r.component_id for r in same} == {5}
     assert minhash.near_duplicates(empty(spark), 2).count() == 0
     kept = minhash.keep_one(documents(spark), 2)
-    # The repeated row stays once; the two rows without an id stay.
+    # The repeated row stays once; the two rows without an id stay, as their texts differ.
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 5, 8, 9, 10]
+    assert kept.where("doc_id IS NULL").count() == 2
     assert minhash.keep_one(empty(spark), 2).count() == 0
 
 
+def test_rows_without_an_id_are_compared(spark):
+    """One word of 92 differs: a group with one id, and one without any."""
+    words = [f"w{i}" for i in range(92)]
+    near = lambda base, at: " ".join([*base[:at], "other", *base[at + 1 :]])
+    second = [f"v{i}" for i in range(92)]
+    texts = [(1, near(words, 9)), (None, near(words, 30)), (None, near(words, 30)), (None, near(second, 3)), (None, near(second, 50)), (None, " ".join(second)), (None, ""), (None, None), (7, "alone")]
+    docs = spark.createDataFrame([(i, t, None, None, 0, None, 0) for i, t in texts], DOCS).repartition(3)
+    found = minhash.near_duplicates(docs, 2).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in found) == {(1, 1, True): 1, (None, 1, False): 2, (None, None, False): 2, (None, None, True): 3, (7, 7, True): 1}
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one(docs, 2).collect()]
+    assert len(kept) == 5 and {texts[0], (None, ""), (None, None), (7, "alone")} <= set(kept)
+
+
+def test_repeated_ids_are_judged_by_row(spark):
+    """Two texts share the id 4: one is a near copy of 3, the other of nothing."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [(3, " ".join(words)), (4, " ".join(words[:-1])), (4, prose(2)), (4, prose(2)), (5, prose(4))]
+    docs = spark.createDataFrame([(i, t, None, None, 0, None, 0) for i, t in texts], DOCS)
+    assert sorted((r.doc_id, r.text) for r in minhash.keep_one(docs, 2).collect()) == sorted([texts[0], texts[2], texts[4]])
+
+
 def test_components_of_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 102), (102, 101), (7, 7)], "a bigint, b bigint")
     found = {r.id: r.root for r in graph.connected_components(edges).collect()}
