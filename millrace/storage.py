@@ -16,12 +16,15 @@ _SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the checkpoint directory of the session. Where none is
-    set, as in tests, a temporary one is."""
+    set a local master, as in tests, gets a temporary one; on a cluster that is an error, as executors would not see it."""
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and context.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -41,6 +44,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    target, files = _file_path(spark, path)
+    files.delete(target, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: its lineage ends there, so a lost
     executor costs no recomputation of what came before."""
@@ -62,8 +70,7 @@ def scratch(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             _SCRATCH.reset(token)
         result = written(frame, operator.__name__)
         for path in paths:
-            target, files = _file_path(frame.sparkSession, path)
-            files.delete(target, True)
+            deleted(frame.sparkSession, path)
         return result
 
     return run
