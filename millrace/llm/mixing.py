@@ -7,11 +7,14 @@ documents as they are, until each is 0 or 1. Only as many documents as there are
 remain; those, and a dozen of each source held back from every flight to settle them with, get the choice
 that misses the totals least.
 
-A source is cut into buckets of a bounded expected number of documents by the hash of the id, so that a
+A source is cut into buckets of a bounded expected number of documents by the hash of id and text, so that a
 hot source is many tasks; what the buckets leave open (those held back and two documents each at most) meets
 in later rounds, which hold back a dozen again.
 All draws are seeded by source, bucket and round, so reruns agree.
 
+There is one row per source in the table of targets, whose windows are one task: sources are names that people gave,
+some thousands at most, whatever the number of documents.
+
 Cases: a null text has size 0; a null source is a source of its own, behind all others; sources without words
 have target 0; repeated rows are documents of their own; an empty table gives no rows.
 """
@@ -133,15 +136,14 @@ def _round(number: int, last: bool):
 @scratch
 def mix(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: size, its source's size and target, the copies, and the words taken."""
-    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), F.xxhash64(F.col("doc_id").cast("bigint"), "text").alias("id_hash"))
     slim = written(given, "mix-sizes")
     sources = written(source_targets(slim), "mix-sources")
     most = sources.agg(F.max("documents")).first()[0] or 0
     buckets = F.greatest(F.lit(1), F.ceil(F.col("documents") / bucket_rows)).cast("bigint")
-    id_hash = F.xxhash64("doc_id", "size")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     # The sources' table is broadcast only if its written size is under the session's limit.
-    rows = slim.join(sources, slim["source"].eqNullSafe(sources["source"])).select("doc_id", "rank", "size", id_hash.alias("id_hash"), F.pmod(id_hash, buckets).alias("bucket"), rate.alias("rate"))
+    rows = slim.join(sources, slim["source"].eqNullSafe(sources["source"])).select("doc_id", "rank", "size", "id_hash", F.pmod("id_hash", buckets).alias("bucket"), rate.alias("rate"))
     state = rows.select("id_hash", "doc_id", "rank", "bucket", "size", (F.col("rate") - F.floor("rate")).alias("chance"))
     number, count, settled = 0, max(1, -(-most // bucket_rows)), []
     while True:
@@ -163,9 +165,10 @@ def mix(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
 def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, with all their columns. Rows that share an id share their
-    copies: as evenly as possible, the first in the order of their hash one more."""
+    copies: as evenly as possible, the first in the order of their hash one more. Texts are shuffled once, before they
+    are repeated, and by the same plan at every size; copies of a text follow one another."""
     wanted = mixed.groupBy(F.col("doc_id").alias("__millrace_id")).agg(F.sum("copies").alias("__millrace_copies"), F.count("*").alias("__millrace_rows"))
-    joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__millrace_id"]))
+    joined = docs.join(wanted.hint("merge"), docs["doc_id"].eqNullSafe(wanted["__millrace_id"]))
     several = wanted.where("__millrace_rows > 1").limit(1).count() > 0
     single = joined.where("__millrace_rows = 1") if several else joined
     parts = [single.withColumn("__millrace_own", F.col("__millrace_copies"))]
