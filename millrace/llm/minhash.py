@@ -415,9 +415,12 @@ def group_documents(docs: DataFrame, size: int, percent: int = PERCENT) -> Group
         again = parts_of_pairs(more).join(sets, "id").select("a", "part", "b", "hashes")
         roots = connected_components(links.unionByName(written(confirmed(again, percent), "links")))
 
-    named = nodes.select("id", "key", "first").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = named.groupBy("root").agg(F.min("first").alias("least"))
-    components = written(named.join(least, "root").select("key", F.col("least.doc_id").alias("component_id"), F.col("least.mark").alias("least_mark")), "components")
+    named = nodes.select("id", "key", "first").join(roots, "id")
+    # Written, so that the join below has plain shuffles on both sides and a hot root can be split.
+    least = written(named.groupBy("root").agg(F.min("first").alias("least")), "least")
+    tied = named.join(least, "root").select("key", "least")
+    alone = nodes.join(roots, "id", "left_anti").select("key", F.col("first").alias("least"))
+    components = written(tied.unionByName(alone).select("key", F.col("least.doc_id").alias("component_id"), F.col("least.mark").alias("least_mark")), "components")
     return Groups(prints.select("doc_id", "mark", "key", "n_shingles"), components)
 
 
