@@ -102,7 +102,7 @@ def fit_pairwise(x: np.ndarray, k: np.ndarray, names: np.ndarray, weight: np.nda
         cost = COST * len(rows) / 2 / np.where(sign > 0, (sign > 0).sum(), (sign < 0).sum())
         own = k[np.ix_(rows, rows)]
         solve = lambda some, own=own, sign=sign, cost=cost: linear.hinge_dual(own[np.ix_(some, some)], sign[some], cost[some])
-        margin = linear.out_of_fold(own, linear.folds_of(len(rows), 3), solve)
+        margin = linear.out_of_fold(own, linear.folds_of(sign, 3), solve)
         calibrations.append(linear.calibrate(margin, (sign > 0).astype(float), weight[rows]))
         alpha = solve(np.arange(len(rows)))
         weights[:, at] = alpha @ x[rows]
@@ -142,7 +142,8 @@ def train(docs: DataFrame, usable: Column | None = None, per_class: int = PER_LA
     """Learn from the rows that have a language and meet `usable`."""
     rows = docs.where(F.lit(True) if usable is None else usable).select(F.col("doc_id").alias("key"), F.col("lang").alias("label"), "text")
     chosen, counts = class_sample(rows, "key", "label", per_class, "langid")
-    return fit(featurised(chosen.where(F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")).dropDuplicates(["key"]), counts, sample_features))
+    texts = chosen.where(F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")).groupBy("key").agg(F.min(F.struct("text", "label")).alias("least"))
+    return fit(featurised(texts.select("key", "least.label", "least.text"), counts, sample_features))
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, parts: int = 4, held: int = 2) -> DataFrame:

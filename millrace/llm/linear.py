@@ -92,9 +92,13 @@ def hinge_dual(k: np.ndarray, sign: np.ndarray, cost: np.ndarray, epochs: int =
     return a * sign
 
 
-def folds_of(n: int, folds: int, seed: int = 11) -> np.ndarray:
-    """A fold for each row, near equal in size, fixed by the seed."""
-    return np.random.default_rng(seed).permutation(np.arange(n) % folds)
+def folds_of(target: np.ndarray, folds: int, seed: int = 11) -> np.ndarray:
+    """A fold for each row, near equal in size and in each value's rows, fixed by the seed."""
+    mixed = np.random.default_rng(seed).permutation(len(target))
+    order = mixed[np.argsort(np.asarray(target)[mixed], kind="stable")]
+    fold = np.zeros(len(target), np.int64)
+    fold[order] = np.arange(len(target)) % folds
+    return fold
 
 
 def out_of_fold(k: np.ndarray, fold: np.ndarray, fit) -> np.ndarray:
@@ -117,8 +121,13 @@ class Calibration:
         return sigmoid(self.slope * np.asarray(margin, dtype=np.float64) + self.offset)
 
 
+#: Least slope of a calibration, per standard deviation of the margins: a greater margin is always likelier.
+LEAST_SLOPE = 0.1
+
+
 def calibrate(margin: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int = 60) -> Calibration:
-    """Platt scaling with smoothed targets: a two-parameter logistic regression of label on margin."""
+    """Platt scaling with smoothed targets: a two-parameter logistic regression of label on margin. Where a label has
+    so few rows that their margins out of fold say nothing, the slope is the least one."""
     up, down = float(weight @ target), float(weight @ (1 - target))
     goal = np.where(target > 0.5, (up + 1) / (up + 2), 1 / (down + 2))
     scale = max(float(np.std(margin)), 1e-9)
@@ -132,4 +141,4 @@ def calibrate(margin: np.ndarray, target: np.ndarray, weight: np.ndarray, steps:
         theta = theta - np.clip(change, -2.0, 2.0)
         if np.abs(change).max() < 1e-8:
             break
-    return Calibration(max(float(theta[0]), 1e-6) / scale, float(theta[1]))
+    return Calibration(max(float(theta[0]), LEAST_SLOPE) / scale, float(theta[1]))

@@ -5,7 +5,8 @@ The regression is fitted on a sample of the labelled rows (`per_class` of each l
 fold give a Platt calibration, and every document is scored in Arrow batches against fixed thresholds.
 
 Cases: a null or empty text has no words and fails the base rule; without labels of both kinds there is
-nothing to learn and the base rule alone decides; repeated rows get equal results; columns that the
+nothing to learn and the base rule alone decides; one row of a label is enough to learn from; repeated rows get
+equal results, and a probability that equals the threshold is kept; of texts that share an id the least teaches; columns that the
 operator does not use pass through `keep_documents` unchanged.
 """
 
@@ -67,14 +68,14 @@ def sample_features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit(sample: Sample) -> QualityModel | None:
-    """The model of a sample with labels 0 and 1, or None if a label is missing."""
+    """The model of a sample with labels 0 and 1, or None if no row has one of them. A label of one row is enough."""
     target = np.array([float(v == 1) for v in sample.label])
-    if min(target.sum(), (1 - target).sum()) < 5:
+    if not 0 < target.sum() < len(target):
         return None
     x = sample.dense(DIMS)
     k = linear.gram(x)
     solve = lambda rows: linear.logistic_dual(k[np.ix_(rows, rows)], target[rows], np.ones(len(rows)), L2)
-    margin = linear.out_of_fold(k, linear.folds_of(len(target), 5), solve)
+    margin = linear.out_of_fold(k, linear.folds_of(target, 5), solve)
     alpha = solve(np.arange(len(target)))
     return QualityModel((alpha @ x).astype(np.float32), float(alpha.sum()), linear.calibrate(margin, target, sample.weight))
 

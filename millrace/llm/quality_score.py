@@ -6,7 +6,8 @@ linear hinge-loss model over the scaled indicators is fitted by dual coordinate
 out of fold give the calibration to probabilities.
 
 Cases: a null or empty text has no n-grams and gets the score of the calibrated bias; without labels of
-both kinds the score is the share of label 1, or 0.5 without any label; repeated rows get equal scores.
+both kinds the score is the share of label 1, or 0.5 without any label; one row of a label is enough to learn from;
+repeated rows get equal scores, and a score that equals the threshold predicts 1; of texts that share an id the least teaches.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def grams_of(text: str | None, hashes: WordHashes) -> np.ndarray:
 
 def sample_features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     hashes = WordHashes()
-    return [(ids := grams_of(t, hashes), np.ones(len(ids), np.float32)) for t in texts]
+    return [(grams_of(t, hashes), None) for t in texts]
 
 
 @dataclass(frozen=True)
@@ -99,15 +100,15 @@ def descend(rows: list[np.ndarray], target: np.ndarray, cost: np.ndarray, epochs
 
 
 def fit(sample: Sample) -> ScoreModel:
-    """The model of a sample with labels 0 and 1; a constant one where a label is missing."""
+    """The model of a sample with labels 0 and 1; a constant one where no row has one of them."""
     target = np.array([float(v == 1) for v in sample.label])
-    if min(target.sum(), (1 - target).sum()) < 5:
+    if not 0 < target.sum() < len(target):
         share = float(sample.weight @ target / sample.weight.sum()) if len(target) else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
         return ScoreModel(np.zeros(DIMS + REPEAT_MARKS, np.float32), 0.0, linear.Calibration(1.0, float(np.log(share / (1 - share)))))
     rows = [ids.astype(np.int64) for ids, _ in sample.rows]
     cost = COST * len(target) / 2 / np.where(target > 0.5, target.sum(), (1 - target).sum())
-    fold, margin = linear.folds_of(len(target), FOLDS), np.zeros(len(target))
+    fold, margin = linear.folds_of(target, FOLDS), np.zeros(len(target))
     for held in range(FOLDS):
         some, rest = np.flatnonzero(fold != held), np.flatnonzero(fold == held)
         w, bias = descend([rows[i] for i in some], target[some], cost[some])

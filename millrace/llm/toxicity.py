@@ -3,14 +3,19 @@
 Categories are predicted one after another: each is a logistic regression on indicators of words and of
 their beginnings (so that an inflected form counts as its stem does), and on the
 probabilities of the categories before it. In training those probabilities come from models fitted
-without the row (out of fold), so a later model meets them as uncertain as they will be.
+without the row, on features chosen without it (out of fold), so a later model meets them as uncertain as they will be.
 
-The tables mark one property, `toxic`. The earlier categories are weak labels: a row that is marked toxic
-belongs to a category whose word list it meets. A category with too few rows is left out; the chain always
-ends with `toxic` itself, whose calibrated probability decides.
+The chain is the same at every size: `low_quality`, which the labels tell; `kind_1` to `kind_4`, which are found in the
+rows marked toxic by clustering what tells them from others (forms of abuse, or languages of it, that go together);
+and `toxic` itself, whose calibrated probability decides. A category without a row is never likely.
+
+A feature is chosen if the classes differ in it by more than `LEAST_GAIN` standard errors; how many there are follows
+from the rows.
 
 Cases: a null or empty text has no words and is not toxic; without labels of both kinds nothing is
-toxic; a word's count does not matter, so long texts are not diluted; repeated rows get equal results.
+toxic; one row of a label is enough to learn from; a word's count does not matter, so long texts are not diluted; repeated
+rows get equal results, and a probability that equals the threshold is toxic; rows without a quality label teach
+nothing of quality; of texts that share an id the least teaches.
 """
 
 from __future__ import annotations
@@ -27,19 +32,14 @@ from millrace.llm import linear
 from millrace.llm.common import slices
 from millrace.llm.training import PER_CLASS, Sample, featurised, labelled
 
-#: Weak categories before `toxic`, each with its words.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "stupid", "fool", "dumb", "loser", "clown", "imbecile", "jerk"),
-    "contempt": ("scum", "trash", "worthless", "pathetic", "disgusting", "filth", "vermin", "garbage"),
-    "threat": ("kill", "murder", "destroy", "hurt", "attack"),
-}
+#: Clusters of the rows marked toxic.
+KINDS = 4
 WORD_BITS = 18
 MASK = (1 << WORD_BITS) - 1
 #: Bytes of a word's beginning that count as features of their own.
 PREFIXES = (4, 5, 6)
-#: Words that tell the classes apart best; the model looks at no others.
-MOST_WORDS = 400
-LEAST_ROWS = 20
+#: Standard errors by which the classes' shares of a feature must differ.
+LEAST_GAIN = 4.0
 LEAST_PROBABILITY = 0.4
 L2 = 0.5
 FOLDS = 5
@@ -76,12 +76,7 @@ class ChosenParts(dict):
 
 
 def sample_features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    found = [np.array(sorted({p for w in set(letter_words(t)) for p in parts_of(w)}), np.int64) for t in texts]
-    return [(ids, np.ones(len(ids), np.float32)) for ids in found]
-
-
-def category_ids() -> dict[str, np.ndarray]:
-    return {name: np.array([parts_of(w.encode())[0] for w in words]) for name, words in CATEGORIES.items()}
+    return [(np.array(sorted({p for w in set(letter_words(t)) for p in parts_of(w)}), np.int64), None) for t in texts]
 
 
 @dataclass(frozen=True)
@@ -114,44 +109,90 @@ class ToxicityModel:
         return [link.name for link in self.links]
 
 
+def chosen_features(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """The features in which rows marked toxic and others differ most clearly, in order."""
+    count = [np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(toxic == v)] or [np.zeros(0, np.int64)]), minlength=1 << WORD_BITS) for v in (0, 1)]
+    n = [(toxic == v).sum() for v in (0, 1)]
+    share = [(c + 0.5) / (m + 1) for c, m in zip(count, n, strict=True)]
+    pooled = (count[0] + count[1] + 1) / (n[0] + n[1] + 2)
+    gain = np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / (n[0] + 1) + 1 / (n[1] + 1)))
+    return np.flatnonzero((gain >= LEAST_GAIN) & (count[0] + count[1] > 0))
+
+
+def indicators(rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    place = np.full(1 << WORD_BITS, -1, np.int64)
+    place[chosen] = np.arange(len(chosen))
+    x = np.zeros((len(rows), len(chosen)))
+    for at, ids in enumerate(rows):
+        met = place[ids]
+        x[at, met[met >= 0]] = 1.0
+    return x
+
+
+def kinds_of(x: np.ndarray, toxic: np.ndarray, kinds: int = KINDS, rounds: int = 20) -> np.ndarray:
+    """The kind of each row marked toxic, -1 for the others: clusters of directions in what tells toxic rows from
+    others. The first centre is the mean, each next one the row farthest from all; so reruns agree."""
+    tells = x[toxic == 1].mean(axis=0) > x[toxic == 0].mean(axis=0)
+    some = np.flatnonzero((toxic == 1) & (x[:, tells].sum(axis=1) > 0))
+    found = np.full(len(toxic), -1)
+    if not len(some):
+        return found
+    told = x[np.ix_(some, tells)]
+    told = told / np.linalg.norm(told, axis=1, keepdims=True)
+    mean = told.mean(axis=0)
+    centres = [mean / np.linalg.norm(mean)]
+    while len(centres) < kinds:
+        centres.append(told[np.argmin((told @ np.array(centres).T).max(axis=1))])
+    centres = np.array(centres)
+    for _ in range(rounds):
+        nearest = (told @ centres.T).argmax(axis=1)
+        sums = np.array([told[nearest == k].sum(axis=0) for k in range(kinds)])
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-9), centres)
+    found[some] = (told @ centres.T).argmax(axis=1)
+    return found
+
+
+def solved(x: np.ndarray, target: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of the logistic regression, whichever of its two forms is the smaller problem."""
+    if x.shape[1] <= x.shape[0]:
+        return linear.logistic_primal(x, target, weight, L2)
+    return linear.logistic_dual(x @ x.T, target, weight, L2) @ x
+
+
 def fit(sample: Sample) -> ToxicityModel | None:
-    """The chain learned from a sample with labels 0 and 1, or None if a label is missing."""
+    """The chain learned from a sample with labels 0 and 1, or None if no row has one of them."""
     toxic = np.array([float(v == 1) for v in sample.label])
-    if min(toxic.sum(), (1 - toxic).sum()) < 5:
+    if not 0 < toxic.sum() < len(toxic):
         return None
-    dims = 1 << WORD_BITS
-    inside, outside = np.zeros(dims), np.zeros(dims)
-    for (ids, _), t in zip(sample.rows, toxic, strict=True):
-        (inside if t else outside)[ids] += 1
-    a, b = inside / toxic.sum(), outside / (1 - toxic).sum()
-    pooled = (a + b) / 2
-    gain = np.where(inside + outside >= 5, np.abs(a - b) / np.sqrt(pooled * (1 - pooled) + 1e-3), 0.0)
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:MOST_WORDS])
-    chosen = chosen[gain[chosen] > 0]
-    place = np.full(dims, -1, np.int16)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(toxic), len(chosen)), np.float32)
-    for at, (ids, _) in enumerate(sample.rows):
-        x[at, place[ids][place[ids] >= 0]] = 1.0
-    targets = [(name, toxic * np.array([float(np.isin(ids, words).any()) for ids, _ in sample.rows])) for name, words in category_ids().items()]
-    fold = linear.folds_of(len(toxic), FOLDS)
+    rows = [ids.astype(np.int64) for ids, _ in sample.rows]
+    fold = linear.folds_of(toxic, FOLDS)
+    learning = [np.flatnonzero(fold != held) for held in range(FOLDS)]
+    designs = [indicators(rows, chosen_features([rows[i] for i in some], toxic[some])) for some in learning]
+    chosen = chosen_features(rows, toxic)
+    x = indicators(rows, chosen)
+    quality = sample.also if sample.also is not None else np.full(len(rows), np.nan)
+    kind = kinds_of(x, toxic)
+    everyone = np.ones(len(rows))
+    targets = [("low_quality", (quality == 0).astype(float), (~np.isnan(quality)).astype(float))]
+    targets += [(f"kind_{k + 1}", (kind == k).astype(float), everyone) for k in range(KINDS)]
     links: list[Link] = []
-    before = np.zeros((len(toxic), 0), np.float32)
-    for name, target in [*((n, t) for n, t in targets if LEAST_ROWS <= t.sum() <= len(t) - LEAST_ROWS), ("toxic", toxic)]:
-        row = np.hstack([x, before, np.ones((len(toxic), 1))]).astype(np.float64)
-        solve = lambda rows, row=row, target=target: linear.logistic_primal(row[rows], target[rows], np.ones(len(rows)), L2)
-        margin = np.zeros(len(toxic))
-        for held in range(FOLDS):
-            margin[fold == held] = row[fold == held] @ solve(np.flatnonzero(fold != held))
-        calibration = linear.calibrate(margin, target, sample.weight)
-        weights = solve(np.arange(len(toxic)))
+    before = np.zeros((len(rows), 0))
+    for name, target, counts in [*targets, ("toxic", toxic, everyone)]:
+        wide = lambda own, before=before: np.hstack([own, before, np.ones((len(own), 1))])
+        margin = np.zeros(len(rows))
+        for held, (some, design) in enumerate(zip(learning, designs, strict=True)):
+            row = wide(design)
+            margin[fold == held] = row[fold == held] @ solved(row[some], target[some], counts[some])
+        calibration = linear.calibrate(margin, target, sample.weight * counts)
+        weights = solved(wide(x), target, counts)
         links.append(Link(name, weights[: len(chosen)].astype(np.float32), weights[len(chosen) : -1], float(weights[-1]), calibration))
-        before = np.hstack([before, calibration(margin)[:, None].astype(np.float32)])
+        before = np.hstack([before, calibration(margin)[:, None]])
     return ToxicityModel({int(c): at for at, c in enumerate(chosen)}, tuple(links))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel | None:
-    return fit(featurised(*labelled(docs, labels, "toxic", per_class, "toxicity"), sample_features))
+    return fit(featurised(*labelled(docs, labels, "toxic", per_class, "toxicity", also="quality"), sample_features))
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, least: float = LEAST_PROBABILITY) -> DataFrame:

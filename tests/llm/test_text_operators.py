@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 
 from millrace.llm import jpeg, langid, linear, media, pieces, quality_rules, quality_score, registry, textstats, toxicity
 from millrace.llm.common import table
-from tests.llm.helpers import documents, empty, rows
+from tests.llm.helpers import documents, empty, prose, rows
 
 MODEL = registry.piece_model_file()
 
@@ -201,8 +201,8 @@ def test_toxicity_chain(spark):
     model = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
     assert model.names[-1] == "toxic" and len(model.links[-1].earlier) == len(model.names) - 1
     seen = toxicity.score(docs, model).join(labels.where("doc_id % 2 = 1").selectExpr("doc_id", "toxic AS label"), "doc_id").select("toxic", "label", "score").collect()
-    # 210 toxic rows to learn from; measured: 0.013 and 0.89.
-    assert np.mean([r[0] for r in seen if r.label == 0]) < 0.02
+    # 210 toxic rows to learn from.
+    assert np.mean([r[0] for r in seen if r.label == 0]) < 0.01
     assert np.mean([r[0] for r in seen if r.label == 1]) > 0.8
     edges = toxicity.score(documents(spark), model).collect()
     assert len(edges) == len(rows()) and not any(r.toxic for r in edges if r.doc_id in (0, 1, 2))
@@ -212,6 +212,111 @@ def test_toxicity_chain(spark):
     assert not any(r.toxic for r in toxicity.score(documents(spark), None).collect())
 
 
+def test_toxicity_links_match_a_plain_restatement(spark):
+    """Each link's probability, term by term in plain Python."""
+    import math
+
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents").where("doc_id % 9 = 0").unionByName(documents(spark).drop("filter_word", "id"))
+    model = toxicity.train(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    assert model.names == ["low_quality", *(f"kind_{k + 1}" for k in range(toxicity.KINDS)), "toxic"]
+    found = toxicity.score(docs, model).collect()
+    want = Counter()
+    for row in docs.collect():
+        lower = "".join(c.lower() if c.isascii() and c.isalpha() else " " if c.isascii() else c for c in row.text or "")
+        parts = {zlib.crc32(w.encode()) % (1 << 18) for w in lower.split(" ") if w}
+        parts |= {zlib.crc32(w.encode()[:n], n) % (1 << 18) for w in lower.split(" ") for n in (4, 5, 6) if len(w.encode()) > n}
+        before = []
+        for link in model.links:
+            margin = link.bias + sum(float(link.words[at]) for p, at in model.place.items() if p in parts) + sum(w * p for w, p in zip(link.earlier, before, strict=True))
+            before.append(1 / (1 + math.exp(-max(-35.0, min(35.0, link.calibration.slope * margin + link.calibration.offset)))))
+        want[row.doc_id, round(before[-1], 3)] += 1
+    assert Counter((r.doc_id, round(r.score, 3)) for r in found) == want
+    assert all(r.toxic == (r.score >= 0.4) and r.kept == (not r.toxic) for r in found)
+
+
+def test_scores_match_plain_restatements(spark):
+    """The quality score and the probability of the quality rules, term by term."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    some = docs.where("doc_id % 25 = 0").unionByName(documents(spark).where("doc_id IS NOT NULL").drop("filter_word", "id"))
+    score_model, rules_model = quality_score.train(docs, labels), quality_rules.train(docs, labels)
+    scores, rules = Counter((r.doc_id, round(r.score, 3)) for r in quality_score.score(some, score_model).collect()), quality_rules.apply_rules(some, rules_model).collect()
+    want_scores, want_rules = Counter(), Counter()
+    for row in some.collect():
+        words, hashes = textstats.words_of(row.text), textstats.WordHashes()
+        single, points = hashes.of(words), textstats.code_points(row.text or "")
+        ids = set()
+        for grams, salt in ((single, 11), (textstats.word_grams(single, 2), 12), (textstats.char_grams(points, 3), 13)):
+            ids |= set(textstats.mixed(grams, 16, salt).tolist()) if words else set()
+        if words and (repeats := brute_counts(row.text)[4]):
+            ids.add((1 << 16) + min(int(repeats / len(words) * 10), 10))
+        margin = sum(float(score_model.weights[i]) for i in ids) / max(len(ids), 1) ** 0.5 + score_model.bias
+        want_scores[row.doc_id, round(float(linear.sigmoid(score_model.calibration.slope * margin + score_model.calibration.offset)), 3)] += 1
+        counts = brute_counts(row.text)
+        failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
+        margin = rules_model.bias
+        for block, parts, salt in ((0, [textstats.word_grams(single, n) for n in (1, 2, 3)], 1), (1, [textstats.char_grams(points, n) for n in (2, 3)], 2)):
+            bins = Counter(textstats.mixed(np.concatenate(parts), 12, salt).tolist())
+            margin += sum((n / sum(bins.values())) ** 0.5 * float(rules_model.weights[(block << 12) + i]) for i, n in bins.items())
+        p = None if failed else round(float(linear.sigmoid(rules_model.calibration.slope * margin + rules_model.calibration.offset)), 3)
+        want_rules[row.doc_id, *counts, failed, p] += 1
+    close = lambda a, b: len(a) == len(b) and all(x[:-1] == y[:-1] and (x[-1] is y[-1] or abs(x[-1] - y[-1]) < 0.003) for x, y in zip(a, b, strict=True))
+    order = lambda c: sorted(c.elements(), key=lambda r: (r[:-1], r[-1] or 0.0))
+    assert close(order(scores), order(want_scores))
+    assert close(order(Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, None if r.probability is None else round(r.probability, 3)) for r in rules)), order(want_rules))
+
+
+def test_language_votes_match_a_plain_restatement():
+    """The family by its machines' votes, then the language by those within it."""
+    texts = [("en", "the house is on the hill and the sea"), ("de", "das haus ist auf dem berg und am meer"), ("fr", "la maison est sur la colline et la mer"), ("es", "la casa esta en la colina y el mar")]
+    made = [(lang, f"{text} {n} {text.split()[n % 5]}") for lang, text in texts for n in range(12)]
+    x = langid.sample_features([t for _, t in made])
+    from millrace.llm.training import Sample
+
+    model = langid.fit(Sample(np.array([lang for lang, _ in made], object), x, np.ones(len(made))))
+    for _, text in made[::5]:
+        features = langid.features_of(text)
+        chosen, chance = None, 1.0
+        for machines in (model.families, None):
+            machines = machines or model.within[chosen]
+            if len(machines.names) > 1:
+                votes, sums = Counter(), Counter()
+                for at, (a, b) in enumerate(machines.pairs):
+                    margin = sum(float(v) * float(w) for v, w in zip(features, machines.weights[:, at], strict=True)) + float(machines.bias[at])
+                    p = float(linear.sigmoid(machines.calibrations[at].slope * margin + machines.calibrations[at].offset))
+                    votes[machines.names[a if margin > 0 else b]] += 1
+                    sums[machines.names[a]] += p
+                    sums[machines.names[b]] += 1 - p
+                chosen = max(machines.names, key=lambda n: (votes[n], sums[n]))
+                chance *= sums[chosen] / (len(machines.names) - 1)
+            else:
+                chosen = machines.names[0]
+        assert model.predict(text)[0] == chosen and abs(model.predict(text)[1] - chance) < 1e-4
+
+
+@pytest.mark.parametrize("few", [1, 2, 4])
+def test_few_rows_of_a_label_are_learned_from(few):
+    """No model turns itself off, and no score is the same for every text."""
+    from millrace.llm.training import Sample
+
+    texts = [prose(i, 30) for i in range(60)] + [f"vile scum number{i} vile filth " + prose(i, 10) for i in range(few)]
+    label = np.array([0] * 60 + [1] * few, object)
+    for module in (toxicity, quality_rules, quality_score):
+        mark = label if module is toxicity else 1 - label
+        found = [(i, np.ones(len(i), np.float32) if v is None else v) for i, v in module.sample_features(texts)]
+        model = module.fit(Sample(mark, found, np.ones(len(texts))))
+        if module is toxicity:
+            parts = toxicity.ChosenParts(model.place)
+            scores = [model.probabilities(parts.of(t))[-1] for t in texts]
+        elif module is quality_rules:
+            hashes = textstats.WordHashes()
+            scores = [-model.probability(module.features_of(t, textstats.words_of(t), hashes)) for t in texts]
+        else:
+            scores = [-model.score(module.grams_of(t, textstats.WordHashes())) for t in texts]
+        assert min(scores[60:]) > max(scores[:60]), module.__name__
+
+
 def test_models_separate_and_calibrate():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(200, 5)).astype(np.float32)
