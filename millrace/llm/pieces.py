@@ -3,7 +3,8 @@
 No piece of a suitable vocabulary crosses from a character into a white-space marker, and none holds a
 line feed next to another character. So a text falls into chunks (a run of markers and what follows it, a
 run of line feeds, or what follows those) whose segmentations never depend on one another: each
-distinct chunk is segmented once per table, and the ids are joined back by position. The vocabulary is
+distinct chunk is segmented once per table, and the ids are joined back by position. There is one table for each
+Python worker process, which the tasks it runs share; so a chunk is segmented once per process, not once in all. The vocabulary is
 inspected for these two properties; where one fails, coarser chunks are used, in the end whole texts.
 
 Cases: a null text counts as empty; an empty text has the end id only; chunks longer than
@@ -93,14 +94,20 @@ def encode_documents(docs: DataFrame, model_file: str, extra: bool = False) -> D
         digits = [str(i) for i in range(table.model.vocab_size())].__getitem__
         for batch in slices(batches, limit=1 << 20):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            encoded = table.encode(texts)
+            # Equal texts of a slice, as mixing repeats them, are encoded once.
+            place: dict[str, int] = {}
+            at = [place.setdefault(t, len(place)) for t in texts]
+            encoded = table.encode(list(place))
             counts, digests, decoded = [], [], []
             for ids in encoded:
                 ids.append(end)
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest())
                 decoded.append(table.model.decode(ids))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded])]
+            spread = lambda values: [values[i] for i in at]
+            encoded, decoded_digests = spread(encoded), spread([hashlib.sha256(t.encode()).hexdigest() for t in decoded])
+            decoded = spread(decoded)
+            columns = [batch.column(0), pa.array(spread(counts), pa.int64()), pa.array(spread(digests)), pa.array(decoded_digests)]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if extra:
                 columns += [pa.array(encoded, pa.list_(pa.int32())), pa.array(decoded)]
