@@ -4,10 +4,11 @@ Every (key, shard) pair has a pseudo-random score; a record goes to the shard wh
 largest. Which other shards exist does not change a pair's score, so one more shard only takes rows to itself.
 
 Slots number the rows of a shard without gaps. A shard holds a fixed share of all rows, so its rows are
-numbered within buckets of a bounded expected size, and each bucket starts behind those before it.
+numbered within buckets of a bounded expected size, and each bucket starts behind those before it. The scores are
+computed once, and what they place is written. The table of bucket starts is joined as the session's threshold says.
 
-Cases: a null text has size 16 and the checksum of no bytes; a null key hashes as an empty one; rows with
-equal keys share a shard and get different slots; an empty table gives no rows.
+Cases: a null text has size 16 and the checksum of no bytes; a null key hashes as an empty one, so such rows share a
+shard, in which their buckets go by the checksum; rows with equal keys share a shard and get different slots; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import scratch, written
+
 #: Hexadecimal digits of the digest that make the score: 52 bits, which a double holds exactly.
 DIGITS = 13
 SPAN = float(16**DIGITS)
@@ -44,6 +47,7 @@ def rendezvous(key: Column, weights: list[float]) -> tuple[Column, Column]:
     return best, (-best["minus_shard"]).cast("int")
 
 
+@scratch
 def assign_shards(docs: DataFrame, shards: int, weights: list[float] | None = None, grown_weight: float = 1.0) -> DataFrame:
     """One row per document: its size, checksum, shard and slot, and its shard if there were one more."""
     weights = weights or [1.0] * shards
@@ -61,8 +65,9 @@ def assign_shards(docs: DataFrame, shards: int, weights: list[float] | None = No
         F.lit("key").alias("law"),
         (-F.col("best.minus_shard")).cast("int").alias("shard"),
         (-F.col("grown.minus_shard")).cast("int").alias("grown_shard"),
-        F.pmod(F.conv(F.substring(F.md5(key), 1, DIGITS), 16, 10).cast("bigint"), F.lit(buckets)).cast("int").alias("bucket"),
+        F.pmod(F.when(F.col("doc_id").isNull(), F.col("text_crc32")).otherwise(F.conv(F.substring(F.md5(key), 1, DIGITS), 16, 10).cast("bigint")), F.lit(buckets)).cast("int").alias("bucket"),
     )
+    placed = written(placed, "placed")
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
     numbered = placed.withColumn("place", F.row_number().over(within) - 1)
     if buckets > 1:
@@ -95,6 +100,6 @@ WITH tbl AS (
   FROM r GROUP BY doc_id, k, size, text_crc32
 ), n AS (SELECT greatest(1, CAST(ceil(count(*) / 160000.0) AS BIGINT)) AS buckets FROM documents)
 SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(k), 1, 13) AS BIGINT) % buckets, doc_id, size, text_crc32) - 1 AS slot, grown_shard
+       row_number() OVER (PARTITION BY shard ORDER BY CASE WHEN doc_id IS NULL THEN text_crc32 ELSE CAST('0x' || substr(md5(k), 1, 13) AS BIGINT) END % buckets, doc_id, size, text_crc32) - 1 AS slot, grown_shard
 FROM b, n
 """
