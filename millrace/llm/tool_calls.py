@@ -7,7 +7,9 @@ results have conv_id, call_id, position and content.
 Cases: of calls, or results, that share an identifier the first by position (then by content) counts and
 the others add to `repeats`; a call without a result, and a result without a call, are rows with that
 status; a dependency that does not exist is an error of the call and does not delay it; calls on a cycle
-and behind one have no level and an error; null or broken JSON is an error; identifiers that are null link with
+and behind one have no level and an error; null or broken JSON, and JSON beyond the size of a variant, is an error
+`json`, and such arguments are serialised as an array of that one text; a system's turns are neither calls nor results of a
+dialogue and give no rows; identifiers that are null link with
 nothing. No conversation is gathered in one task: all joins and sums are keyed by identifiers.
 """
 
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import scratch, written
+from millrace.storage import new_path
 
 #: For each function its parameters: (JSON type, whether required).
 Schemas = dict[str, dict[str, tuple[str, bool]]]
@@ -73,16 +76,20 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def settled_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Levels of any acyclic graph: in each round the calls whose dependencies are all settled."""
-    waiting = edges
-    done = written(nodes.select("node").join(edges, "node", "left_anti").withColumn("level", F.lit(0).cast("bigint")), "call-settled")
-    fresh, level = done, 0
+    """Levels of any acyclic graph: in each round the calls whose dependencies are all settled. There are as many
+    rounds as levels, each over the calls that are still waiting; what is settled is added to one written table."""
+    spark, waiting, level = nodes.sparkSession, edges, 0
+    fresh = nodes.select("node").join(edges, "node", "left_anti").withColumn("level", F.lit(0).cast("bigint"))
+    settled = new_path(spark, "call-levels")
+    fresh = written(fresh, "call-settled")
+    fresh.write.parquet(settled)
     while fresh.limit(1).count():
         level += 1
         touched = waiting.join(fresh.select(F.col("node").alias("before")), "before", "left_semi").select("node").distinct()
         waiting = written(waiting.join(fresh.select(F.col("node").alias("before")), "before", "left_anti"), "call-waiting")
         fresh = written(touched.join(waiting.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level).cast("bigint")), "call-settled")
-        done = done.unionByName(fresh)
+        fresh.write.mode("append").parquet(settled)
+    done = spark.read.schema(fresh.schema).parquet(settled)
     return nodes.select("node").join(done, "node", "left").select("node.conv_id", "node.call_id", "level")
 
 
@@ -94,7 +101,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFr
     level = levels(one)
     known = one.select("conv_id", "call_id", F.explode("depends_on").alias("needs"))
     lost = known.join(one.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti").groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_set("needs")).alias("lost"))
-    both = one.join(level, ["conv_id", "call_id"], "left").join(lost, ["conv_id", "call_id"], "left").withColumn("is_call", F.lit(True)).join(answer, ["conv_id", "call_id"], "full")
+    both = one.join(level, ["conv_id", "call_id"], "left").join(lost, ["conv_id", "call_id"], "left").withColumn("is_call", F.lit(True)).join(answer.hint("shuffle_hash"), ["conv_id", "call_id"], "full")
     both = both.withColumn("parsed", F.try_parse_json("arguments"))
     faults = F.when(F.col("is_call").isNull(), F.array().cast("array<string>")).otherwise(
         F.concat(
