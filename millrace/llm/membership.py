@@ -12,12 +12,21 @@ MOST_BITS = 1 << 25
 LEAST_BITS = 1 << 12
 
 
+def filter_size(count: int) -> int:
+    """Bits of a filter of so many keys: a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * count).bit_length()))
+
+
+def key_words(keys: DataFrame, place: Column, count: int) -> tuple[DataFrame, int]:
+    """A bitmap of a number for each key, as rows (word, bits), and its number of bits."""
+    size = filter_size(count)
+    bits = keys.select(F.pmod(place, F.lit(size)).alias("place")).selectExpr("shiftright(place, 6) AS __millrace_word", "shiftleft(1L, CAST(place & 63 AS INT)) AS bit")
+    return bits.groupBy("__millrace_word").agg(F.bit_or("bit").alias("__millrace_bits")), size
+
+
 def key_filter(keys: DataFrame, key: str, count: int) -> tuple[DataFrame, int]:
     """A bitmap of the keys' hashes, as rows (word, bits), and its number of bits."""
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * count).bit_length()))
-    place = F.pmod(F.xxhash64(key), F.lit(size))
-    bits = keys.select(place.alias("place")).selectExpr("shiftright(place, 6) AS __millrace_word", "shiftleft(1L, CAST(place & 63 AS INT)) AS bit")
-    return bits.groupBy("__millrace_word").agg(F.bit_or("bit").alias("__millrace_bits")), size
+    return key_words(keys, F.xxhash64(key), count)
 
 
 def split_by_filter(rows: DataFrame, key: Column, filter_rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:

@@ -8,12 +8,11 @@
 3. Links already found make components. A band whose nodes are not one component is looked at again, with a bound
    besides the estimate: how many shingles two sets can share at most, by the counts of their hashes in bins.
    In a band of few nodes, each node outside its leader's component meets the others. In a large one, nodes
-   meet over the rarest shingles: each set's shingles are put in the order of how many nodes of the family (nodes
-   tied by large bands) have them, and sets of the similarity share one of the first fifth of both. Where that
-   shingle is in at most `FEW` nodes, the nodes meet there, which is linear. Where it is in more, both sets
-   are made of common shingles for the most part and share nothing else; of such nodes those that can
-   reach the similarity with any set at all are compared, tile by tile, by the counts of their common shingles and by
-   the bound. So any two nodes that share a band end up in one component, have been compared, or cannot
+   meet over the rarest shingles: each set's shingles are put in one order, those that at most `FEW` nodes of the family (nodes
+   tied by large bands) have before the others, and sets of the similarity share one of the first fifth of both. Where
+   that shingle is rare, the nodes meet there, which is linear. Where it is common, both sets
+   are made of common shingles for the most part and share nothing else; such nodes are compared, tile by tile, by
+   the counts of their common shingles and by the bound. One of two nodes is always outside the family's largest component. So any two nodes that share a band end up in one component, have been compared, or cannot
    reach the similarity.
 
 Pairs are confirmed on full sets, hot leaders in parts: the members of a leader are dealt into parts of `PART_ROWS`
@@ -36,12 +35,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import scratch, slices, written
 from millrace.llm.graph import connected_components
-from millrace.llm.membership import key_filter, split_by_filter
+from millrace.llm.membership import key_filter, key_words, split_by_filter
 from millrace.llm.textstats import WordHashes, words_of
 
 HASHES, BANDS, BITS = 128, 32, 4
@@ -290,46 +289,70 @@ def reachable(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def shingle_rows(sets: DataFrame) -> DataFrame:
-    """(family, id, root, shingle) of the nodes' sets."""
+def family_codes(family: int, shingles: np.ndarray) -> np.ndarray:
+    """A 64-bit code for each shingle within a family."""
+    h = shingles ^ np.uint64(family * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def common_bits(members: DataFrame) -> np.ndarray:
+    """A bitmap of the codes that more than `FEW` nodes of a family have, of 4 MB at most. A rare code may be taken for
+    a common one, by all nodes alike; that costs comparisons and no pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for family, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(family_codes(family, np.frombuffer(packed.as_buffer(), np.uint64)).view(np.int64))], ["code"])
+
+    codes = members.select("family", "hashes").mapInArrow(run, "code bigint")
+    common = written(codes.groupBy("code").agg(F.count("*").alias("spread")).where(f"spread > {FEW}").select("code"), "common")
+    words, size = key_words(common, F.col("code"), common.count())
+    bits, found = np.zeros(size // 64, np.uint64), words.toArrow()
+    bits[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
+    return bits
+
+
+def rarest(members: DataFrame, bits: np.ndarray, percent: int) -> DataFrame:
+    """(family, id, root, out, n, common, first): how many common shingles a node has, and the codes of the rare ones
+    among the first of its order, in which rare ones come before common ones."""
+    mask, columns = np.uint64(len(bits) * 64 - 1), ["family", "id", "root", "out", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                shingles = np.frombuffer(batch.column(3)[at].as_buffer(), np.int64)
-                rows = [pa.array(np.full(len(shingles), batch.column(c)[at].as_py(), np.int64)) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(shingles)], ["family", "id", "root", "shingle"])
+            counts, firsts = [], []
+            for family, packed in zip(batch.column(0).to_pylist(), batch.column(5), strict=True):
+                codes = family_codes(family, np.frombuffer(packed.as_buffer(), np.uint64))
+                place = codes & mask
+                common = (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                counts.append(int(common.sum()))
+                firsts.append(np.sort(codes[~common])[: len(codes) * (100 - percent) // 100 + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(counts, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], [*columns, "common", "first"])
 
-    return sets.select("family", "id", "root", "hashes").mapInArrow(run, "family bigint, id bigint, root bigint, shingle bigint")
+    return members.select(*columns, "hashes").mapInArrow(run, "family bigint, id bigint, root bigint, out boolean, n bigint, common bigint, first array<bigint>")
 
 
 def large_band_pairs(large: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components of large bands that can reach the similarity at all."""
+    """Pairs across components of large bands that can reach the similarity at all; one of the two is outside the
+    family's largest component."""
     family = connected_components(large.select(F.col("leader").alias("a"), F.col("id").alias("b"))).withColumnRenamed("root", "family")
     members = written(large.select("id", "root").distinct().join(family, "id"), "members")
-    rows = written(shingle_rows(sets.join(members, "id")), "shingles")
-    spread = rows.groupBy("family", "shingle").agg(F.count("*").alias("spread")).where("spread > 1")
-    shared = written(rows.join(spread, ["family", "shingle"]), "spread")
-    counts = shared.groupBy("id").agg(F.count("*").alias("shared"), F.count_if(F.col("spread") > FEW).alias("common"))
-    known = written(members.join(sketches, "id").join(counts, "id"), "counted")
-    # Shingles of one node alone come first in its order; they take places and meet nobody.
-    order = F.row_number().over(Window.partitionBy("id").orderBy("spread", "shingle"))
-    placed = shared.join(known.select("id", (F.col("n") - F.col("shared")).alias("alone"), F.floor(F.col("n") * (100 - percent) / 100).alias("first")), "id")
-    rare = placed.withColumn("place", F.col("alone") + order).where(f"place <= first + 1 AND spread <= {FEW}").select("family", "shingle", "id", "root")
-    other = rare.select("family", "shingle", F.col("id").alias("other"), F.col("root").alias("other_root"))
-    met = rare.join(other, ["family", "shingle"]).where("id < other AND root <> other_root").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-    core = known.where(f"100 * common >= {percent} * n")
+    heads = members.groupBy("family", "root").agg(F.count("*").alias("nodes")).groupBy("family").agg(F.max_by("root", F.struct("nodes", "root")).alias("head"))
+    own = members.join(heads, "family").withColumn("out", F.col("root") != F.col("head")).drop("head")
+    known = own.join(sketches.select("id", "n"), "id").join(sets, "id")
+    counted = written(rarest(known, common_bits(known), percent), "counted")
+    rare = counted.select("id", "root", "out", F.explode("first").alias("code"))
+    other = rare.select("code", F.col("id").alias("other"), F.col("root").alias("other_root"))
+    met = rare.where("out").join(other, "code").where("root <> other_root").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    core = counted.where(f"100 * common >= {percent} * n").drop("first").join(sketches.select("id", "bits"), "id")
     return reachable(met, sketches, percent).unionByName(tiled_pairs(core, percent))
 
 
 def tiled_pairs(core: DataFrame, percent: int) -> DataFrame:
     """Pairs of a family across components that can reach the similarity with common shingles alone. Two sets share
-    no more than the lesser of their common counts, so one of the two is an anchor: a set whose common shingles would do
-    for a partner of its own size. And one of the two is outside the family's largest component. Tiles are
-    of bounded expected size, and each is a group of its own; only pairs within reach leave it."""
-    core = written(core.withColumn("anchor", F.expr(f"{100 + percent} * common >= {2 * percent} * n")).select("family", "id", "root", "n", "common", "anchor", "bits"), "core")
-    heads = core.groupBy("family", "root").agg(F.count("*").alias("nodes")).groupBy("family").agg(F.max_by("root", F.struct("nodes", "root")).alias("head"))
-    rows = core.join(heads, "family").withColumn("out", F.col("root") != F.col("head"))
+    no more than the lesser of their common counts, so one of the two is an anchor: a set whose common shingles would do for a partner of its own size. Tiles are of bounded expected size, and
+    each is a group of its own; only pairs within reach leave it."""
+    rows = written(core.withColumn("anchor", F.expr(f"{100 + percent} * common >= {2 * percent} * n")).select("family", "id", "root", "out", "n", "common", "anchor", "bits"), "core")
     sides = [("out AND anchor", "true"), ("out AND NOT anchor", "anchor AND NOT out")]
     tile = lambda n: F.least(F.greatest(F.ceil(F.col(n) / TILES), F.lit(LEAST_TILE)), F.lit(MOST_TILE))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
