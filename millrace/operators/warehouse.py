@@ -6,8 +6,9 @@ import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-PREVIOUS, STAGING = "__previous__", "__staging__"
+PREVIOUS, STAGING, BUILDING = "__previous__", "__staging__", "__building__"
 LONGEST_NAME = 128
 
 
@@ -68,6 +69,28 @@ class Warehouse:
         self.spark.sql(f"REFRESH TABLE {self.name(relation)}")
         rows.select(*self.read(relation).columns).write.insertInto(self.name(relation))
 
+    def rewrite_partitions(self, relation: str, rows: DataFrame, touched: list, partition: str, check: Callable[[DataFrame], None] | None = None) -> None:
+        """Put `rows`, all that the touched partitions are to hold, in their place; files of other partitions stay. The
+        rows are staged first, so they may read the relation, and a check that raises leaves it as it was."""
+        staged = artifact_name(STAGING, relation)
+        self.write(staged, rows, partition=partition)
+        try:
+            if check is not None:
+                kept = self.read(relation).where(~F.coalesce(F.col(partition).isin(touched), F.lit(False)))
+                check(kept.unionByName(self.read(staged)))
+            filled = {r[0] for r in self.read(staged).select(partition).distinct().collect()}
+            # A session of its own, as the mode is a setting of the session and models are built side by side.
+            own = self.spark.newSession()
+            own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+            own.table(self.name(staged)).select(*self.read(relation).columns).write.mode("overwrite").insertInto(self.name(relation))
+            kind = self.read(relation).schema[partition].dataType.simpleString()
+            for value in touched:
+                if value not in filled:
+                    self.spark.sql(f"ALTER TABLE {self.name(relation)} DROP IF EXISTS PARTITION (`{partition}` = CAST('{value}' AS {kind}))")
+            self.spark.sql(f"REFRESH TABLE {self.name(relation)}")
+        finally:
+            self.drop(staged)
+
     def promote(self, staged: str, live: str) -> None:
         """The staged relation takes the live one's name; the old one is gone only once the new one is there."""
         previous = artifact_name(PREVIOUS, live)

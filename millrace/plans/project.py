@@ -8,8 +8,11 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any
 
+from pyspark.errors import AnalysisException
+
 from millrace.operators.quality import Audit
 
 MARKER = re.compile(r"__(ref|source|seed|table_fn|udf)\(\s*[\"']([^\"']+)[\"']\s*\)")
@@ -44,13 +47,22 @@ class Model:
     cursor: str | None = None
     cursor_grain: str | None = None
     cursor_watermark_mode: str = "all"
+    cursor_inputs: tuple[str, ...] = ()  # the references whose bounds open the window; all that have the cursor if empty
+    cursor_future_distance: str | None = None  # how far past the clock a cursor may claim
     lookback: str | None = None
     batch_size: int | None = None
+    batch_concurrency: int = 1
     max_microbatches: int | None = None
+    unaccounted_partition_policy: str | None = None  # synthesize, recover_empty or recover_all
     snapshot_strategy: str | None = None  # timestamp or check
     updated_at: str | None = None
     check_columns: tuple[str, ...] = ()
     observed_at: str | None = None
+    historical_input: bool = False
+    initial_valid_from: Any = None
+    valid_from_column: str = "valid_from"
+    valid_to_column: str = "valid_to"
+    snapshot_full_refresh: bool = False
     invalidate_hard_deletes: bool = False
     partition_by: str | None = None
     pre_hooks: tuple[Any, ...] = ()
@@ -61,11 +73,11 @@ class Model:
     constants: dict[str, Any] = field(default_factory=dict)
 
     def references(self) -> list[tuple[str, str]]:
-        return list(dict.fromkeys(MARKER.findall(self.sql)))
+        return list(_references(self.sql))
 
     def query_hash(self) -> str:
         """Equal for statements that differ in comments, white space and letter case outside of quotes only."""
-        return hashlib.sha256(normalised(self.sql).encode()).hexdigest()
+        return _query_hash(self.sql)
 
     def config_hash(self) -> str:
         kept = {k: v for k, v in vars(self).items() if k not in ("sql", "materialize", "audits", "columns", "path", "tags")}
@@ -77,7 +89,9 @@ class Model:
 
 @dataclass(frozen=True)
 class Source:
-    """A table of the catalog, a Parquet path, a statement, or a loader's rows."""
+    """A table of the catalog, a Parquet path, a statement, or a loader's rows. Its version is the greatest value of
+    `freshness_column`, what `freshness_sql` gives, or else what the files' metadata say; a change of times
+    by no more than `tolerated` is none."""
 
     name: str
     path: str | None = None
@@ -87,6 +101,15 @@ class Source:
     strategy: str = "table"
     cursor: str | None = None
     unique_key: tuple[str, ...] = ()
+    freshness_column: str | None = None
+    freshness_sql: str | None = None
+    tolerated: str | None = None
+
+    def relation(self, own: Callable[[str], str]) -> str:
+        """What stands for the source in a statement, in any session; `own` names a relation of the warehouse."""
+        if self.loader is not None:
+            return own(f"source_{self.name}")
+        return f"parquet.`{self.path}`" if self.path else f"({self.sql})" if self.sql else str(self.table)
 
 
 @dataclass(frozen=True)
@@ -98,15 +121,48 @@ class Seed:
 
 @dataclass(frozen=True)
 class Function:
-    """A SQL function: arguments, what it returns (a type, or TABLE (...)), and its body."""
+    """A SQL function: arguments, what it returns (a type, or TABLE (...)), and its body. Or a Python one: `python`
+    takes and gives pandas series (a scalar, for an aggregate), and has no body."""
 
     name: str
     arguments: str
     returns: str
-    body: str
+    body: str = ""
+    python: Callable | None = None
+
+    def ddl(self, schema: str | None = None) -> str:
+        """The statement that makes the function, in a schema or for the session."""
+        place = f"FUNCTION `{schema}`.{self.name}" if schema else f"TEMPORARY FUNCTION {self.name}"
+        return f"CREATE OR REPLACE {place}({self.arguments}) RETURNS {self.returns} RETURN {self.body}"
+
+    def version(self) -> str:
+        """What changes when the function does."""
+        return self.ddl() if self.python is None else f"{self.name}:{self.returns}:{self.python.__code__.co_code.hex()}:{self.python.__code__.co_consts!r}"
+
+    def register(self, spark: Any, schema: str | None = None) -> None:
+        if self.python is None:
+            try:
+                spark.sql(self.ddl(schema))
+            except AnalysisException as error:
+                # The session still knows a function that went with its schema.
+                if schema is None or error.getCondition() != "ROUTINE_NOT_FOUND":
+                    raise
+                spark.sql(f"DROP FUNCTION IF EXISTS `{schema}`.{self.name}")
+                spark.sql(self.ddl(schema))
+        else:
+            from pyspark.sql import functions as F
+
+            spark.udf.register(self.name, F.pandas_udf(self.python, self.returns))
+
+
+@lru_cache(maxsize=1 << 16)
+def _references(sql: str) -> tuple[tuple[str, str], ...]:
+    return tuple(dict.fromkeys(MARKER.findall(sql)))
 
-    def ddl(self) -> str:
-        return f"CREATE OR REPLACE TEMPORARY FUNCTION {self.name}({self.arguments}) RETURNS {self.returns} RETURN {self.body}"
+
+@lru_cache(maxsize=1 << 16)
+def _query_hash(sql: str) -> str:
+    return hashlib.sha256(normalised(sql).encode()).hexdigest()
 
 
 def normalised(sql: str) -> str:
@@ -155,6 +211,22 @@ class Project:
             raise ProjectError(f"models read each other in a circle: {' -> '.join(error.args[1])}") from error
         return [n for n in order if n in graph and (chosen is None or n in chosen)]
 
+    def levels(self) -> list[list[str]]:
+        """Models in groups: each reads of the groups before it only."""
+        graph = self.graph()
+        sorter = graphlib.TopologicalSorter({k: sorted(v) for k, v in sorted(graph.items())})
+        try:
+            sorter.prepare()
+        except graphlib.CycleError as error:
+            raise ProjectError(f"models read each other in a circle: {' -> '.join(error.args[1])}") from error
+        found = []
+        while sorter.is_active():
+            ready = sorter.get_ready()
+            sorter.done(*ready)
+            if level := sorted(n for n in ready if n in graph):
+                found.append(level)
+        return found
+
     def render(self, model: Model, names: Callable[[str, str], str], cursor: tuple[str, str] | None = None, values: dict[str, str] | None = None) -> str:
         """The statement with macros, constants, placeholders, references and cursor bounds filled in."""
         sql = model.sql
