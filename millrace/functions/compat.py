@@ -116,3 +116,35 @@ def get_ignore_case(entries: Column, key: str) -> Column:
     exact = F.try_element_at(entries, F.lit(key))
     close = F.array_sort(F.map_keys(F.map_filter(entries, lambda k, _: F.lower(k) == key.lower())))
     return F.coalesce(exact, F.try_element_at(entries, F.try_element_at(close, F.lit(1))))
+
+
+def try_to_time(text: Column) -> Column:
+    """A time of day as HH:mm:ss text, or null where there is none."""
+    return F.date_format(F.try_to_timestamp(F.concat(F.lit("1970-01-01 "), text)), "HH:mm:ss")
+
+
+def _variant_is(value: Column, *kinds: str) -> Column:
+    return F.schema_of_variant(value).rlike(f"^(?:{'|'.join(kinds)})")
+
+
+def is_array(value: Column) -> Column:
+    return _variant_is(value, "ARRAY")
+
+
+def is_object(value: Column) -> Column:
+    return _variant_is(value, "OBJECT")
+
+
+def is_decimal(value: Column) -> Column:
+    """A whole or fixed-point number."""
+    return _variant_is(value, "BIGINT", "DECIMAL")
+
+
+def is_double(value: Column) -> Column:
+    """Any number."""
+    return _variant_is(value, "BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+
+
+def strip_null_value(value: Column) -> Column:
+    """The variant, or SQL's null for a JSON null."""
+    return F.when(~F.is_variant_null(value), value)

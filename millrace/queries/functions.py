@@ -223,3 +223,63 @@ def compat_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json(compat.object_pick(compat.object_drop_nulls(entries), "size", "none")).alias("picked"),
         compat.get_ignore_case(compat.object_delete(entries, "none"), "TYPE").alias("kind"),
     )
+
+
+@QUERIES.frame(
+    "q_time_conversion_fns",
+    """
+    SELECT event_id, event_type = 'click' AS same, date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) AS seconds, epoch_us(ts + INTERVAL 5 HOURS) AS later_us, epoch_us(date_trunc('second', ts)) AS ntz_us,
+           epoch_us(date_trunc('second', ts) - INTERVAL 2 HOURS) AS tz_us, CASE WHEN event_id % 2 = 0 THEN epoch_us(date_trunc('second', ts)) END AS try_ntz_us, CASE WHEN event_id % 2 = 0 THEN epoch_us(date_trunc('second', ts) - INTERVAL 2 HOURS) END AS try_tz_us,
+           CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%H:%M:%S') END AS time_of_day, CAST(user_id AS BIGINT) AS number,
+           epoch_us(TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(event_id % 50 - 11 AS INTEGER)) + INTERVAL 26 HOURS + INTERVAL 65 SECONDS) AS parts_us
+    FROM events
+    """,
+)
+def time_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (events,) = tables_of(spark, sf_dir, "events")
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    odd = F.when(F.col("event_id") % 2 == 0, text).otherwise("no time")
+    zoned = lambda c: F.concat(c, F.lit("+02:00"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    parts = [F.lit(2024), F.lit(1), (F.col("event_id") % 50 - 10).cast("int"), F.lit(26), F.lit(0), F.lit(65)]
+    return events.select(
+        "event_id",
+        F.equal_null(F.nullif(F.col("event_type"), F.lit("click")), F.lit(None).cast("string")).alias("same"),
+        compat.date_diff("second", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")).alias("seconds"),
+        micros(F.expr("TIMESTAMPADD(HOUR, 5, ts)")).alias("later_us"),
+        micros(F.to_timestamp_ntz(text)).alias("ntz_us"),
+        micros(F.to_timestamp_ltz(zoned(text))).alias("tz_us"),
+        micros(odd.try_cast("timestamp_ntz")).alias("try_ntz_us"),
+        micros(F.try_to_timestamp(zoned(odd))).alias("try_tz_us"),
+        compat.try_to_time(F.split_part(odd, F.lit(" "), F.lit(2))).alias("time_of_day"),
+        F.to_number(F.col("user_id").cast("string"), F.lit("999999999")).cast("bigint").alias("number"),
+        micros(compat.timestamp_from_parts(*parts)).alias("parts_us"),
+    )
+
+
+@QUERIES.frame("q_hash", "SELECT event_type, COUNT(DISTINCT (user_id, value)) AS distinct_rows, true AS stable FROM events GROUP BY event_type")
+def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 64-bit hash tells rows apart, and gives equal rows the same."""
+    (events,) = tables_of(spark, sf_dir, "events")
+    own = F.xxhash64("user_id", "value")
+    again = F.xxhash64(F.col("user_id").cast("string").cast(dict(events.dtypes)["user_id"]), "value")
+    return events.groupBy("event_type").agg(F.count_distinct(own).alias("distinct_rows"), F.bool_and(own == again).alias("stable"))
+
+
+@QUERIES.frame(
+    "q_variant_types",
+    """
+    SELECT event_id, k = 0 AS is_array, k = 1 AS is_object, k IN (2, 3) AS is_decimal, k IN (2, 3, 4) AS is_double, CASE k WHEN 1 THEN CAST(event_id AS VARCHAR) END AS member, k = 1 AS had_null FROM (SELECT event_id, event_id % 6 AS k FROM events) t
+    """,
+)
+def variant_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (events,) = tables_of(spark, sf_dir, "events")
+    forms = ("concat('[', event_id, ']')", "concat('{\"a\":null,\"b\":', event_id, '}')", "concat(event_id, '.5')", "cast(event_id as string)", "concat(event_id, 'e-3')", "concat('\"', event_id, '\"')")
+    doc = F.parse_json(F.element_at(F.array(*(F.expr(f) for f in forms)), (F.col("event_id") % 6 + 1).cast("int")))
+    gone, kept = (F.try_variant_get("doc", f"$.{name}", "variant") for name in ("a", "b"))
+    return events.select("event_id", doc.alias("doc")).select(
+        "event_id",
+        *(getattr(compat, name)(F.col("doc")).alias(name) for name in ("is_array", "is_object", "is_decimal", "is_double")),
+        F.to_json(compat.strip_null_value(kept)).alias("member"),
+        (F.coalesce(F.is_variant_null(gone), F.lit(False)) & compat.strip_null_value(gone).isNull()).alias("had_null"),
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import incremental as inc
-from millrace.plans.intervals import Interval, parse_duration, raw_bounds, replay_start
+from millrace.plans.intervals import Interval, floor_to, parse_duration, raw_bounds, replay_start
 from millrace.queries.base import QuerySet, tables_of
 
 QUERIES = QuerySet()
@@ -47,10 +47,11 @@ def cursor_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.frame("q_microbatch_hourly", _HOURLY)
 def microbatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The month in batches of ten days, each replacing its own range of the target: the same as at once."""
+    """All events in batches of ten days, each replacing its own range of the target: the same as at once."""
     (events,) = tables_of(spark, sf_dir, "events")
     parts: list[DataFrame] = []
-    window = Interval(datetime(2024, 1, 1), datetime(2024, 1, 31))
+    window = raw_bounds(None, [inc.cursor_bounds(events, "ts")["ts"]], "day")
+    window = Interval(floor_to(window.start, "day"), window.end)
     inc.run_microbatches(lambda batch: hourly(events.where(inc.within("ts", batch))), window, "day", 10, lambda rows, _: parts.append(rows))
     return _shown(reduce(DataFrame.unionByName, parts))
 
@@ -60,11 +61,12 @@ def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the events comes late, with the second run, which reads three days back and replaces them; those
     later than that would be lost, so the late ones here are of the last three days."""
     (events,) = tables_of(spark, sf_dir, "events")
-    cut = datetime(2024, 1, 16)
-    back = replay_start(Interval(cut, datetime(2024, 2, 1)), lookback=parse_duration("3d"))
+    whole = raw_bounds(None, [inc.cursor_bounds(events, "ts")["ts"]], "day")
+    cut = replay_start(whole, backfill=parse_duration("15d"))
+    back = replay_start(Interval(cut, whole.end), lookback=parse_duration("3d"))
     late = (F.col("event_id") % 10 == 0) & (F.col("ts") >= inc.literal(back)) & (F.col("ts") < inc.literal(cut))
     first = hourly(events.where((F.col("ts") < inc.literal(cut)) & ~late))
-    window = Interval(back, datetime(2024, 2, 1))
+    window = Interval(back, whole.end)
     second = hourly(events.where(inc.within("ts", window)))
     return _shown(inc.apply_increment(first, second, "delete_insert", window, "hour"))
 

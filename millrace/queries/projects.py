@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.quality import Audit
@@ -15,7 +16,8 @@ from millrace.plans.intervals import Completion, Interval, project_coverage
 from millrace.plans.lineage import check_statement, column_lineage
 from millrace.plans.planner import plan, state_of
 from millrace.plans.project import Function, Model, Project, Source
-from millrace.queries.base import QuerySet
+from millrace.queries.base import QuerySet, tables_of
+from millrace.storage import new_path, written
 
 QUERIES = QuerySet()
 
@@ -75,6 +77,109 @@ def project_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.warehouse.read("daily_revenue").withColumn("order_day", F.col("order_day").cast("string"))
 
 
+def _feed(spark: SparkSession, events: DataFrame, path: str, condition: str) -> None:
+    events.where(condition).withColumn("day", F.to_date("ts")).select("event_id", "event_type", "day").write.mode("append").parquet(path)
+
+
+def _fresh(spark: SparkSession, schema: str, project: Project) -> Engine:
+    spark.sql(f"DROP SCHEMA IF EXISTS {schema} CASCADE")
+    return Engine(spark, project, Warehouse(spark, schema))
+
+
+def _built(engine: Engine, **options) -> list[str]:
+    results = engine.build(**options)
+    if failed := [r for r in results if r.status != "done"]:
+        raise RuntimeError(str(failed))
+    return [r.action for r in results]
+
+
+@QUERIES.frame(
+    "q_engine_rebuild",
+    """
+    SELECT 'clicks' AS model, CAST(CAST(ts AS DATE) AS VARCHAR) AS item, COUNT(*) AS n FROM events WHERE event_type = 'click' GROUP BY 2
+    UNION ALL SELECT 'per_type', event_type || '!', COUNT(*) FROM events GROUP BY 2
+    UNION ALL SELECT 'daily', CAST(CAST(ts AS DATE) AS VARCHAR), COUNT(*) FROM events GROUP BY 2
+    """,
+)
+def engine_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built over half of the events; then the others come, and a model is edited: a view, a table over it and an
+    incremental model all tell of every event."""
+    (events,) = tables_of(spark, sf_dir, "events")
+    path = new_path(spark, "feed")
+    _feed(spark, events, path, "event_id % 2 = 0")
+    project = Project().add(
+        Source("feed", path=path),
+        Model("all_events", 'SELECT * FROM __source("feed")'),
+        Model("clicks", "SELECT * FROM __ref(\"all_events\") WHERE event_type = 'click'"),
+        Model("per_type", 'SELECT event_type AS item, COUNT(*) AS n FROM __ref("all_events") GROUP BY 1', materialized="table"),
+        Model(
+            "daily",
+            'SELECT day, COUNT(*) AS n FROM __ref("all_events") WHERE day >= __cursor_start() AND day < __cursor_end() GROUP BY day',
+            materialized="incremental",
+            strategy="delete_insert",
+            cursor="day",
+            cursor_grain="day",
+            partition_by="day",
+            lookback="400d",
+        ),
+    )
+    engine = _fresh(spark, "millrace_rebuild", project)
+    _built(engine)
+    _feed(spark, events, path, "event_id % 2 <> 0")
+    _built(engine)
+    project.models["per_type"] = replace(project.models["per_type"], sql="SELECT event_type || '!' AS item, COUNT(*) AS n FROM __ref(\"all_events\") GROUP BY 1")
+    _built(engine)
+    read = engine.warehouse.read
+    clicks = read("clicks").groupBy(F.col("day").cast("string").alias("item")).agg(F.count("*").alias("n"))
+    daily = read("daily").select(F.col("day").cast("string").alias("item"), "n")
+    named = lambda name, rows: rows.select(F.lit(name).alias("model"), "item", "n")
+    return named("clicks", clicks).unionByName(named("per_type", read("per_type"))).unionByName(named("daily", daily))
+
+
+@QUERIES.frame("q_engine_gaps", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, COUNT(*) AS n FROM events GROUP BY 1")
+def engine_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second week's events come last: its batch was empty, and the policy runs it again."""
+    (events,) = tables_of(spark, sf_dir, "events")
+    path, first = new_path(spark, "feed"), events.agg(F.min(F.to_date("ts"))).first()[0]
+    late = f"to_date(ts) >= DATE '{first}' + INTERVAL 7 DAYS AND to_date(ts) < DATE '{first}' + INTERVAL 14 DAYS"
+    _feed(spark, events, path, f"NOT ({late})")
+    sql = 'SELECT day, COUNT(*) AS n FROM __source("feed") WHERE day >= __cursor_start() AND day < __cursor_end() GROUP BY day'
+    model = Model("weekly", sql, "incremental", strategy="delete_insert", cursor="day", cursor_grain="day", batch_size=7, batch_concurrency=2, unaccounted_partition_policy="recover_empty")
+    engine = _fresh(spark, "millrace_gaps", Project().add(Source("feed", path=path), model))
+    _built(engine)
+    _feed(spark, events, path, late)
+    _built(engine)
+    return engine.warehouse.read("weekly").withColumn("day", F.col("day").cast("string"))
+
+
+@QUERIES.frame(
+    "q_engine_history",
+    """
+    WITH r AS (SELECT user_id, event_type, epoch_us(ts) AS seen, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1),
+         c AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY seen) AS before FROM r),
+         k AS (SELECT * FROM c WHERE before IS DISTINCT FROM event_type)
+    SELECT user_id, event_type, seen AS since, lead(seen) OVER (PARTITION BY user_id ORDER BY seen) AS until FROM k
+    """,
+)
+def engine_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every user did, as a historical snapshot model: the first half of the time, then the rest."""
+    (events,) = tables_of(spark, sf_dir, "events")
+    first_of = F.row_number().over(Window.partitionBy("user_id", "ts").orderBy("event_id"))
+    rows = written(events.withColumn("_n", first_of).where("_n = 1").select("user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("seen")), "seen")
+    cut = sum(rows.agg(F.min("seen"), F.max("seen")).first()) // 2
+    path = new_path(spark, "feed")
+    project = Project().add(
+        Source("feed", path=path),
+        Model("did", 'SELECT * FROM __source("feed")', "snapshot", unique_key=("user_id",), snapshot_strategy="check", check_columns=("event_type",), observed_at="seen", historical_input=True, valid_from_column="since", valid_to_column="until"),
+    )
+    engine = _fresh(spark, "millrace_history", project)
+    rows.where(F.col("seen") < cut).write.parquet(path)
+    _built(engine)
+    rows.where(F.col("seen") >= cut).write.mode("overwrite").parquet(path)
+    _built(engine)
+    return engine.warehouse.read("did").select("user_id", "event_type", "since", "until")
+
+
 @QUERIES.frame("q_project_unit_test", "SELECT true AS passed, 1 AS actual_rows, 0 AS missing")
 def project_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One order with two lines gives one day; the models between run on the given rows."""

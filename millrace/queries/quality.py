@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import compare, quality, schema
 from millrace.queries.base import QuerySet, tables_of
+from millrace.sources import freshness
 
 QUERIES = QuerySet()
 
@@ -122,7 +125,8 @@ def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @QUERIES.frame("q_freshness", "SELECT epoch_us(MAX(ts)) AS version_us, MAX(ts) < TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 12 HOURS AS stale FROM events")
-def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+def observed_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     (events,) = tables_of(spark, sf_dir, "events")
-    now = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    return events.agg(F.max("ts").alias("v")).select(F.unix_micros(F.col("v").cast("timestamp")).alias("version_us"), (F.col("v") < now - F.expr("INTERVAL 12 HOURS")).alias("stale"))
+    seen = datetime.fromisoformat(freshness.observe_column("events", events, "ts").version)
+    stale = freshness.too_old(seen, datetime(2024, 2, 1), timedelta(hours=12))
+    return spark.createDataFrame([(seen, stale)], "version timestamp_ntz, stale boolean").select(F.unix_micros(F.col("version").cast("timestamp")).alias("version_us"), "stale")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.catalog import register_views
+from millrace.plans.project import Function
 from millrace.queries.base import QuerySet, tables_of
 from millrace.sources import generators, loaders, seeds
 from millrace.storage import new_path
@@ -32,11 +33,12 @@ def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.frame("q_seed_nulls", "SELECT * FROM (VALUES (1, 'plain', 'x'), (2, NULL, 'N/A'), (3, 'unknown', NULL), (4, 'a, \"b\"', 'y')) t(id, name, note)")
 def seed_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-column missing values over a small CSV, parsed and typed as a seed file is."""
+    """Per-column missing values of a seed file."""
     settings = seeds.SeedSettings(na_values={"name": ("N/A",), "note": ("unknown",)})
-    lines = ["1,plain,x", "2,N/A,N/A", "3,unknown,", '4,"a, ""b""",y']
-    text = spark.createDataFrame([(line,) for line in lines], "value string").select(F.from_csv("value", "id string, name string, note string", {"escape": '"'}).alias("r")).select("r.*").fillna("")
-    return text.select(F.col("id").cast("int").alias("id"), *(seeds.with_missing(F.col(c), settings, c).alias(c) for c in ("name", "note")))
+    path = new_path(spark, "seed")
+    lines = ["id,name,note", "1,plain,x", "2,N/A,N/A", "3,unknown,", '4,"a, ""b""",y']
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
+    return seeds.read_seed(spark, path, {"id": "INT", "name": "VARCHAR", "note": "VARCHAR"}, settings)
 
 
 @QUERIES.frame("q_loader_evolution", "SELECT * FROM (VALUES (1, 'free', NULL), (2, 'pro', 7.5), (3, 'team', 9.0)) t(customer_id, plan_name, price)")
@@ -47,14 +49,6 @@ def loader_evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaders.load(loaders.load(None, first, "table"), second, "merge", keys=["customer_id"])
 
 
-@QUERIES.frame("q_loader_delete_insert", "SELECT event_id, CASE WHEN event_id >= 50 THEN 'new' ELSE event_type END AS event_type FROM events WHERE event_id < 100")
-def loader_delete_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (events,) = tables_of(spark, sf_dir, "events")
-    target = events.where("event_id < 80").select("event_id", "event_type")
-    staged = loaders.stage(spark, ({"event_id": i, "event_type": "new"} for i in range(50, 100)))
-    return loaders.load(target, staged, "delete_insert", cursor="event_id")
-
-
 @QUERIES.frame("q_loader_delete_insert_whole", "SELECT event_id, CASE WHEN event_id BETWEEN 50 AND 99 THEN 'new' ELSE event_type END AS event_type FROM events")
 def loader_delete_insert_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The staged rows replace a range inside the whole table."""
@@ -75,13 +69,10 @@ def udf_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @QUERIES.frame("q_udf_py", "SELECT p_partkey, reverse(p_name) || '!' AS shout FROM part")
 def udf_python(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (part,) = tables_of(spark, sf_dir, "part")
-
-    @F.pandas_udf("string")
-    def shout(names: pd.Series) -> pd.Series:
-        return names.str[::-1] + "!"
-
-    return part.select("p_partkey", shout("p_name").alias("shout"))
+    """A function declared in Python, as a project declares it, and used in SQL."""
+    register_views(spark, sf_dir, ["part"])
+    Function("shout", "name STRING", "string", python=lambda names: names.str[::-1] + "!").register(spark)
+    return spark.sql("SELECT p_partkey, shout(p_name) AS shout FROM part")
 
 
 @QUERIES.frame("q_udaf", "SELECT p_brand, CAST(MAX(p_size) - MIN(p_size) AS BIGINT) AS spread FROM part GROUP BY p_brand")
