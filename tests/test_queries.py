@@ -62,3 +62,14 @@ def test_streams_keep_files_out_of_time_order(spark, sf_dir, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/*.parquet'")
     same_rows(FUNCTIONS[name](spark, str(tmp_path)), con, ORACLES[name])
+
+
+def test_recursion_goes_beyond_the_row_limit_of_the_session(spark, sf_dir, con):
+    key = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(key, "50")
+    try:
+        assert spark.read.parquet(f"{sf_dir}/part.parquet").count() > 50
+        same_rows(FUNCTIONS["q_recursive_cte"](spark, sf_dir), con, ORACLES["q_recursive_cte"])
+        assert spark.conf.get(key) == "50"
+    finally:
+        spark.conf.unset(key)
