@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from decimal import ROUND_HALF_UP, Decimal
 from pathlib import Path
 
 import duckdb
@@ -73,3 +74,33 @@ def test_recursion_goes_beyond_the_row_limit_of_the_session(spark, sf_dir, con):
         assert spark.conf.get(key) == "50"
     finally:
         spark.conf.unset(key)
+
+
+def _priced(spark, folder, lines) -> dict:
+    spark.createDataFrame(lines, "l_orderkey bigint, l_extendedprice double, l_discount double").coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    return {r.order_key: r.net for r in FUNCTIONS["q_cte_chain"](spark, str(folder)).collect()}
+
+
+def test_sums_that_end_in_a_half_do_not_depend_on_the_order_of_the_rows(spark, tmp_path):
+    """Orders 78198 and 140331 of sf0.1, whose sums of doubles fall below the half in the order of the file, and refunds of them."""
+    orders = (
+        [(70064.82, 0.07), (68805.16, 0.02), (72171.5, 0.01), (99758.83, 0.05), (4133.12, 0.05), (89076.25, 0.05), (50422.76, 0.04), (15834.74, 0.04), (20568.11, 0.04)],
+        [(91471.09, 0.02), (8578.88, 0.1), (97890.51, 0.06), (37164.27, 0.04), (7297.91, 0.0), (50167.9, 0.1), (54883.88, 0.01)],
+    )
+    orders += tuple([(-price, discount) for price, discount in o] for o in orders)
+    dealt = [way for o in orders for way in (o, o[::-1], sorted(o))]
+    true = [sum(Decimal(str(price)) * (1 - Decimal(str(discount))) for price, discount in way) for way in dealt]
+    assert {t % 1 for t in true} == {Decimal("0.5"), Decimal("-0.5")}
+    found = _priced(spark, tmp_path, [(key, *line) for key, way in enumerate(dealt) for line in way])
+    assert found == {key: int(t.quantize(Decimal(1), ROUND_HALF_UP)) for key, t in enumerate(true)}
+
+
+def test_sums_of_values_that_are_no_steps_of_a_price(spark, tmp_path):
+    """Nulls, more than four decimals, values and sums too large for whole numbers."""
+    lines = [(1, None, 0.1), (1, 5.0, None), (2, None, 0.1), (2, 7.25, 0.0), (3, 0.123456, 0.0), (3, 1 / 3, 0.0), (3, 0.5, 1 / 7), (4, 1e15, 0.5), (4, 2.0, 0.0), (5, 9.0, 12345.0), (6, 1e-9, 1e-9)]
+    lines += [(7, 9.9e7, -9.0)] * 200 + [(8, -9.9e7, -9.0)] * 200
+    found = _priced(spark, tmp_path, lines)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert found == {key: net for key, net, _ in con.execute(ORACLES["q_cte_chain"]).fetchall()}
+    assert found[1] is None and found[7] == -found[8] == 198_000_000_000
